@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import lookalike, survivor
+from foliant.llm import leak, level, lookalike, mix, survivor
 from foliant.session import table
 
 
@@ -25,7 +25,23 @@ def p5_golden(spark: SparkSession, d: str) -> DataFrame:
     return survivor.golden(table(spark, d, "goodreads_book_details"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p5_found, p5_golden)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return level.found(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p5_found, p5_golden, p7_found, p8_mix, p8_shares, p9_found)}
 
 _NOW = """now AS (
   SELECT DISTINCT * FROM goodreads_book_details QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY loaded_at DESC, work_id DESC NULLS LAST) = 1)"""
