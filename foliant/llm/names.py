@@ -190,9 +190,9 @@ def common_given(names: DataFrame, name: str, parser: Parser) -> set[str]:
 PROFILE = ["kind", "family", "first", "second"]
 
 
-def _only(value: str, name: str) -> list[Column]:
+def _only(value: str, name: str) -> Column:
     """The one value of a group, null if there are several."""
-    return [F.when(F.min(value) == F.max(value), F.min(value)).alias(name)]
+    return F.when(F.min(value) == F.max(value), F.min(value)).alias(name)
 
 
 def _skeleton(family: Column) -> Column:
@@ -214,54 +214,57 @@ def _near(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | swapped | (_skeleton(a) == _skeleton(b))
 
 
-def _complete(nodes: DataFrame) -> DataFrame:
-    """Merge within a family: initials take full names, missing names take known ones, where only one fits."""
-    block = ["kind", "family"]
-    people = nodes.groupBy(*PROFILE).agg(F.sum("n").alias("n"))
-    full = people.where(F.length("first") > 1)
-    initial = F.substring("first", 1, 1)
-    # a first name that is the block's only one for the initial (and for what is known of the second name)
-    by_one = full.groupBy(*block, initial.alias("i1")).agg(*_only("first", "one"))
-    by_bare = full.where("second = ''").groupBy(*block, initial.alias("i1")).agg(*_only("first", "bare"))
-    by_two = full.where("second <> ''").groupBy(*block, initial.alias("i1"), F.substring("second", 1, 1).alias("i2")).agg(*_only("first", "two"))
-    # a short form of several names that the family has one of
-    shared = F.create_map(*[x for k, v in SHARED_NICKNAMES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    short = people.where(F.col("first").isin(*SHARED_NICKNAMES)).select(*block, F.col("first").alias("short"), F.explode(shared[F.col("first")]).alias("first")).distinct()
-    meant = short.join(full.select(*block, "first").distinct(), [*block, "first"]).groupBy(*block, "short").agg(*_only("first", "meant")).withColumnRenamed("short", "first")
-    nodes = nodes.join(meant, [*block, "first"], "left").withColumn("first", F.coalesce("meant", "first")).drop("meant")
-    nodes = nodes.withColumns({"i1": initial, "i2": F.substring("second", 1, 1)})
-    nodes = nodes.join(by_one, [*block, "i1"], "left").join(by_bare, [*block, "i1"], "left").join(by_two, [*block, "i1", "i2"], "left")
-    taken = F.when(F.col("second") == "", F.col("one")).otherwise(F.coalesce("two", "bare"))
-    nodes = nodes.withColumn("first", F.when((F.length("first") == 1) & taken.isNotNull(), taken).otherwise(F.col("first"))).drop("one", "bare", "two", "i1")
-    # a second name that is the person's only one
-    people = nodes.where("second <> ''")
-    person = [*block, "first"]
-    long = F.when(F.length("second") > 1, F.col("second"))
-    by_person = people.groupBy(*person).agg(F.when(F.min("i2") == F.max("i2"), F.min("i2")).alias("p_i"), F.when(F.min(long) == F.max(long), F.min(long)).alias("p_full"), F.max(long).alias("p_any"))
-    by_initial = people.where(F.length("second") > 1).groupBy(*person, "i2").agg(*_only("second", "i_full"))
-    nodes = nodes.join(by_person, person, "left").join(by_initial, [*person, "i2"], "left")
-    alone = F.when(F.col("p_i").isNotNull(), F.when(F.col("p_any").isNull(), F.col("p_i")).otherwise(F.col("p_full")))
-    second = F.when(F.col("second") == "", F.coalesce(alone, F.lit(""))).when(F.length("second") == 1, F.coalesce("i_full", "second")).otherwise(F.col("second"))
+def _first_names(nodes: DataFrame) -> DataFrame:
+    """Merge within a family: an initial, or a short form of several names, takes the only full name it fits.
+
+    What it fits depends on what is known of the second name: with a second name, people whose second name
+    has that initial go before people without one.
+    """
+    block, full = ["kind", "family"], nodes.where("length(first) > 1")
+    one, two = F.substring("first", 1, 1), F.substring("second", 1, 1)
+    offered = F.array(
+        F.concat(one, F.lit("|")),
+        F.when(F.col("second") == "", F.concat(one, F.lit("|="))).otherwise(F.concat(one, F.lit("|"), two)),
+        F.concat(F.lit("="), F.col("first")),
+    )
+    keys = full.select(*block, "first", F.explode(offered).alias("key")).groupBy(*block, "key").agg(_only("first", "one"))
+    short = F.create_map(*[x for k, v in SHARED_NICKNAMES.items() for x in (F.lit(k), F.array(*[F.lit(f"={n}") for n in v]))])[F.col("first")]
+    asked = F.when(F.length("first") > 1, short).when(F.col("second") == "", F.array(F.concat(one, F.lit("|")))).otherwise(F.array(F.concat(one, F.lit("|"), two), F.concat(one, F.lit("|="))))
+    open_ = nodes.where((F.length("first") == 1) | F.col("first").isin(*SHARED_NICKNAMES)).select(*PROFILE).distinct()
+    wanted = open_.select(*PROFILE, F.posexplode(asked).alias("place", "key")).join(keys, [*block, "key"]).where("one IS NOT NULL")
+    rank = F.when(F.length("first") > 1, 0).otherwise(F.col("place"))
+    taken = wanted.groupBy(*PROFILE).agg(F.min_by("one", rank).alias("one"), F.min("one").alias("least"), F.max("one").alias("most"))
+    taken = taken.where("length(first) = 1 OR least = most").select(*PROFILE, F.col("one").alias("to"))
+    return nodes.join(taken, PROFILE, "left").withColumn("first", F.coalesce("to", "first")).drop("to")
+
+
+def _second_names(nodes: DataFrame) -> DataFrame:
+    """Merge within a person's first name: no second name, or an initial, takes the only one it fits."""
+    person, two = ["kind", "family", "first"], F.substring("second", 1, 1)
     fits = (F.length("first") > 1) | (F.col("first") == "")
-    return nodes.withColumn("second", F.when(fits, second).otherwise(F.col("second"))).drop("i2", "p_i", "p_full", "p_any", "i_full")
+    long = F.when(F.length("second") > 1, F.col("second"))
+    keys = nodes.where(fits & (F.col("second") != "")).select(*person, two.alias("two"), long.alias("long"), F.explode(F.array(F.lit(""), two)).alias("key")).groupBy(*person, "key")
+    keys = keys.agg(_only("two", "two"), F.min("long").alias("least"), F.max("long").alias("most"))
+    only = F.when(F.col("two").isNotNull(), F.when(F.col("most").isNull(), F.col("two")).when(F.col("least") == F.col("most"), F.col("most")))
+    keys = keys.select(*person, F.col("key").alias("second"), only.alias("to")).where("`to` IS NOT NULL")
+    return nodes.join(keys, [*person, "second"], "left").withColumn("second", F.coalesce("to", "second")).drop("to")
 
 
 def _respell(nodes: DataFrame) -> DataFrame:
     """Merge across families that differ by a slip: the rarer spelling takes the more frequent one."""
-    people = nodes.where("length(first) > 1 OR kind = 'organisation'").groupBy("kind", "family", "first").agg(F.sum("n").alias("n"))
-    keyed = people.withColumn("key", F.explode(_keys(F.col("family"))))
-    other = keyed.select("kind", "first", "key", F.col("family").alias("to"), F.col("n").alias("m"))
-    better = (F.col("to") != F.col("family")) & ((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("to") < F.col("family"))))
-    moves = keyed.join(other, ["kind", "first", "key"]).where(better & _near(F.col("family"), F.col("to")))
-    moves = moves.groupBy("kind", "family", "first").agg(F.max_by("to", F.struct("m", "to")).alias("to"))
-    # initials of a family in which nobody's full name fits them
     initial = F.substring("first", 1, 1)
-    lone = nodes.where("length(first) = 1 AND kind = 'person'").groupBy("kind", "family", "first").agg(F.sum("n").alias("n"))
-    lone = lone.join(people.select("kind", "family", initial.alias("first")).distinct(), ["kind", "family", "first"], "left_anti")
-    offered = other.withColumn("i1", F.substring("first", 1, 1)).select("kind", F.col("i1").alias("first"), "key", "to", "m", F.col("first").alias("to_first"))
-    offered = lone.withColumn("key", F.explode(_keys(F.col("family")))).join(offered, ["kind", "first", "key"]).where((F.col("to") != F.col("family")) & (F.col("m") >= F.col("n")) & _near(F.col("family"), F.col("to")))
-    offered = offered.groupBy("kind", "family", "first").agg(*_only("to", "to")).where("`to` IS NOT NULL")
-    moves = moves.unionByName(offered.select("kind", "family", "first", "to"))
+    people = nodes.where(F.col("first") != "").unionByName(nodes.where("kind = 'organisation'")).groupBy("kind", "family", "first").agg(F.sum("n").alias("n"))
+    # a full name meets its like, an initial meets the full names that it fits
+    keyed = people.select("kind", "family", "first", "n", F.explode(_keys(F.col("family"))).alias("key"))
+    asked = keyed.withColumn("meet", F.col("first"))
+    offered = keyed.where("length(first) <> 1").select("kind", "key", F.col("family").alias("to"), F.col("n").alias("m"), F.explode(F.array_distinct(F.array("first", initial))).alias("meet"))
+    better = (F.col("to") != F.col("family")) & ((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & ((F.col("to") < F.col("family")) | (F.length("first") == 1))))
+    moves = asked.join(offered, ["kind", "key", "meet"]).where(better & _near(F.col("family"), F.col("to")))
+    moves = moves.groupBy("kind", "family", "first").agg(F.max_by("to", F.struct("m", "to")).alias("best"), F.min("to").alias("least"), F.max("to").alias("most"))
+    # an initial moves only if one family offers itself, and nobody of its own family fits it
+    own = nodes.where("length(first) > 1").select("kind", "family", initial.alias("first")).distinct()
+    lone = moves.where("length(first) = 1 AND least = most").join(own, ["kind", "family", "first"], "left_anti")
+    moves = moves.where("length(first) <> 1").unionByName(lone).select("kind", "family", "first", F.col("best").alias("to"))
     return nodes.join(moves, ["kind", "family", "first"], "left").withColumn("family", F.coalesce("to", "family")).drop("to")
 
 
@@ -288,10 +291,12 @@ def resolve(mentions: DataFrame, *, name: str = "name", most_rounds: int = 12) -
     nodes = parsed.groupBy(*PROFILE).agg(F.sum("n").alias("n")).select("*", *start)
     for _ in range(most_rounds):
         before = F.struct(*PROFILE)
-        step = durable(_respell(_complete(nodes.withColumn("_before", before))).withColumn("_moved", F.col("_before") != before).drop("_before"))
-        nodes = step.drop("_moved")
-        if step.where("_moved").limit(1).count() == 0:
+        nodes = durable(_first_names(nodes.withColumn("_before", before)))
+        nodes = durable(_second_names(nodes))
+        nodes = durable(_respell(nodes))
+        if nodes.where(F.col("_before") != before).limit(1).count() == 0:
             break
+        nodes = nodes.drop("_before")
     entity = F.concat_ws("|", *[F.col(c) for c in PROFILE]).alias("entity")
     own = nodes.select(*[F.col(f"own_{c}").alias(c) for c in PROFILE], entity)
     return parsed.select("name", *PROFILE).join(own, PROFILE).select("name", "entity")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import leak, level, lookalike, mix, names, survivor
+from foliant.llm import leak, level, linkage, lookalike, mix, names, survivor
 from foliant.session import table
 
 
@@ -12,6 +12,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return names.found(table(spark, d, "nkc_translations"), table(spark, d, "goodreads_author_names"))
 
 
+def p2_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Each linked record with its work, confidence and agreement levels."""
+    return linkage.link(table(spark, d, "nkc_translations"), table(spark, d, "goodreads_book_details"), table(spark, d, "goodreads_author_names"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_linked(spark, d).select("nkc_id", "work_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.found(table(spark, d, "nkc_translations"), "nkc_id", ["original_title", "czech_title", "author"])
 
@@ -45,7 +54,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return level.found(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p5_found, p5_golden, p7_found, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_linked, p3_found, p3_consistent, p5_found, p5_golden, p7_found, p8_mix, p8_shares, p9_found)}
 
 _NOW = """now AS (
   SELECT DISTINCT * FROM goodreads_book_details QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY loaded_at DESC, work_id DESC NULLS LAST) = 1)"""
