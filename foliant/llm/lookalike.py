@@ -26,12 +26,12 @@ LOOKALIKES = [
     "AАΑ", "BВΒ", "CС.", "EЕΕ", "HНΗ", "IІΙ", "JЈ.", "KКΚ", "MМΜ", "N.Ν", "OОΟ", "PРΡ", "SЅ.", "TТΤ", "XХΧ", "YУΥ", "Z.Ζ", "QԚ.", "WԜ.",
 ]
 # Code points that are default-ignorable in Unicode, without the tags and variation supplements.
-IGNORABLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸"
+IGNORABLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0￰-￸"
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
 
 _IGNORE = re.compile(f"[{IGNORABLE}\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]")
-_SPACES = re.compile(r"[\t\n\x0b\x0c\r\x1c-\x1f\x85   -     　]")
-_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
+_SPACES = re.compile(r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 _ALTERNATIVES = {c: "".join(x for x in row if x != ".") for row in LOOKALIKES for c in row if c != "."}
 #: Log-probability lost at each change of script within a word.
 SWITCH = -25.0
