@@ -132,10 +132,12 @@ def review_history(reviews: DataFrame, editions: DataFrame) -> DataFrame:
         F.collect_set(F.struct("book_id", "year")).alias("all"),
     )
     work_of = latest_rows(editions.select("book_id", "work_id", "loaded_at"), "book_id", "loaded_at").where(F.trim("work_id") != "").select("book_id", "work_id")
-    one = each.where(F.col("book_id") == F.col("other")).groupBy("book_id", "year").agg(F.count("*").alias("n"))
-    several = each.where(F.col("book_id") != F.col("other")).select("review_id", F.explode("all").alias("x")).select("review_id", "x.book_id", "x.year")
-    several = several.join(work_of, "book_id").groupBy("work_id", "review_id").agg(F.min("year").alias("year")).groupBy("work_id", "year").agg(F.count("*").alias("n"))
-    per_year = one.join(work_of, "book_id").select("work_id", "year", "n").unionByName(several).groupBy("work_id", "year").agg(F.sum("n").alias("n"))
+    # shared: the id of a review of several books; such a review keeps its id until its books' works are known
+    shared = F.when(F.col("book_id") != F.col("other"), F.col("review_id"))
+    books = F.when(shared.isNull(), F.array(F.struct("book_id", "year"))).otherwise(F.col("all"))
+    per_book = each.select(shared.alias("shared"), F.explode(books).alias("x")).groupBy("x.book_id", "x.year", "shared").agg(F.count("*").alias("n"))
+    per_work = per_book.join(work_of, "book_id").groupBy("work_id", "shared", F.when(F.col("shared").isNull(), F.col("year")).alias("own")).agg(F.min("year").alias("year"), F.sum("n").alias("n"))
+    per_year = per_work.groupBy("work_id", "year").agg(F.sum(F.when(F.col("shared").isNull(), F.col("n")).otherwise(1)).alias("n"))
     # At most one row for each year of the calendar in a window.
     running = Window.partitionBy("work_id").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
     return per_year.select("work_id", "year", F.sum("n").over(running).alias("n_ratings"))
