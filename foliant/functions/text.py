@@ -88,14 +88,19 @@ def normalize_author(name: Column) -> Column:
     return normalize(turn_name(name))
 
 
+def strip(text: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+
+
 def clean(text: Column) -> Column:
-    """Without closing catalogue punctuation and outer spaces; null if nothing is left."""
-    return F.nullif(F.trim(F.rtrim(text, F.lit(" :/.,;"))), F.lit(""))
+    """Without closing catalogue punctuation and outer white space; null if nothing is left."""
+    return F.nullif(strip(F.rtrim(text, F.lit(" :/.,;"))), F.lit(""))
 
 
 def strip_series(title: Column) -> Column:
     """Without a closing "(.. #..)"."""
-    return F.trim(F.regexp_replace(title, r"\s*\([^)]*#[^)]*\)\s*$", ""))
+    return strip(F.regexp_replace(title, r"\s*\([^)]*#[^)]*\)\s*$", ""))
 
 
 def parse_year(text: Column) -> Column:
@@ -111,7 +116,7 @@ def parse_oclc(values: Column) -> Column:
 
 def clean_isbn(value: Column) -> Column:
     """What stands before a bracket, cleaned; null if nothing is left."""
-    return clean(F.trim(F.get(F.split(value, r"\("), F.lit(0))))
+    return clean(strip(F.get(F.split(value, r"\("), F.lit(0))))
 
 
 def isbn10_to_13(isbn: Column) -> Column:

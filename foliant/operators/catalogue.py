@@ -21,7 +21,7 @@ def instances(fields: Column, tag: str) -> Column:
 
 def values(fields: Column, tag: str, code: str) -> Column:
     """All trimmed texts of (tag, code), in order; a null text is an empty one."""
-    own = lambda f: F.transform(F.filter(_subfields(f), lambda s: s["code"] == code), lambda s: F.coalesce(F.trim(s["text"]), F.lit("")))
+    own = lambda f: F.transform(F.filter(_subfields(f), lambda s: s["code"] == code), lambda s: F.coalesce(t.strip(s["text"]), F.lit("")))
     return F.flatten(F.transform(instances(fields, tag), own))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,11 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and not context.getCheckpointDir():
-        master = context.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-checkpoint-"))
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="foliant-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
