@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def frequency(df: DataFrame, value: Column, name: str, *, top: int | None = None) -> DataFrame:
     """Counts of a value, most frequent first, ties by value; only ``top`` of them if given."""
-    counts = df.groupBy(value.alias(name)).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), name).limit(top) if top else counts
+    counts = df.groupBy(value.alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name)
+    return counts.limit(top) if top else counts
 
 
 def missing_as(text: Column, label: str) -> Column:
