@@ -50,6 +50,8 @@ ORGANISATION_SHORT = {"inst": "institute", "dept": "department", "lab": "laborat
 COMMON = 0.001
 #: Family names shorter than this are not corrected.
 LEAST_FAMILY = 5
+#: Texts longer than this meet by their halves instead of by one letter left out.
+LONG = 40
 
 _DATES = re.compile(r"[,\s]*\(?\b\d{3,4}\??\s*[-–—]?\s*(?:\d{3,4})?\)?")
 _BRACKETS = re.compile(r"\([^)]*\)|\[[^\]]*\]")
@@ -102,6 +104,7 @@ class Parser:
         self.model = model
         self.given = set(common) | {skeleton(x) for x in [*NICKNAMES, *NICKNAMES.values(), *SHARED_NICKNAMES]}
         self.formal = {skeleton(a): skeleton(b) for a, b in NICKNAMES.items()}
+        self.longest = max(map(len, self.given))
         self.spelling: dict[str, list[str]] = {}
         for name in self.given:
             if len(name) >= 4:
@@ -115,7 +118,7 @@ class Parser:
             if form in self.given:
                 return self.formal.get(form, form)
         for form in dict.fromkeys((skeleton(token), token)):
-            if len(form) >= 4:
+            if 4 <= len(form) <= self.longest + 1:
                 found = {self.formal.get(n, n) for key in deletions(form) for n in self.spelling.get(key, ()) if near(form, n)}
                 if len(found) == 1:
                     return found.pop()
@@ -201,17 +204,31 @@ def _skeleton(family: Column) -> Column:
     return family
 
 
+def one_slip_keys(text: Column) -> Column:
+    """Keys of which two texts at most one slip apart share one.
+
+    Up to LONG letters: the text and all that one letter less leaves of it; the texts that share such a key
+    are bounded by the alphabet. Longer: its first and its last letters, one of which a slip leaves whole.
+    """
+    less = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    none = F.array().cast("array<string>")
+    short = F.when(F.length(text) <= LONG + 1, F.concat(F.array(text), less)).otherwise(none)
+    half = LONG // 2
+    long = F.when(F.length(text) >= LONG, F.array(F.concat(F.lit("<"), F.substring(text, 1, half)), F.concat(F.lit(">"), F.substring(text, -half, half)))).otherwise(none)
+    return F.array_distinct(F.concat(short, long))
+
+
 def _keys(family: Column) -> Column:
-    """A family name, its skeleton, and all that one letter less leaves of it, if it is long enough to be corrected."""
-    less = F.transform(F.sequence(F.lit(1), F.length(family)), lambda i: F.concat(F.substring(family, F.lit(1), i - 1), F.substring(family, i + 1, F.length(family))))
-    return F.when(F.length(family) >= LEAST_FAMILY, F.array_distinct(F.concat(F.array(family, F.concat(F.lit("~"), _skeleton(family))), less))).otherwise(F.array(family))
+    """A family name's skeleton, and its one-slip keys if it is long enough to be corrected."""
+    return F.when(F.length(family) >= LEAST_FAMILY, F.concat(F.array(F.concat(F.lit("~"), _skeleton(family))), one_slip_keys(family))).otherwise(F.array(family))
 
 
 def _near(a: Column, b: Column) -> Column:
     """For words that share a key: one letter put in, left out or changed, or two swapped, or the same skeleton."""
     letters = lambda c: F.array_sort(F.split(c, ""))
-    swapped = (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & (letters(a) == letters(b))
-    return (F.levenshtein(a, b) <= 1) | swapped | (_skeleton(a) == _skeleton(b))
+    apart = F.levenshtein(a, b, 2)  # -1 beyond two; the bound keeps long names cheap
+    swapped = (F.length(a) == F.length(b)) & (apart == 2) & (letters(a) == letters(b))
+    return apart.isin(0, 1) | swapped | (_skeleton(a) == _skeleton(b))
 
 
 def _first_names(nodes: DataFrame) -> DataFrame:
