@@ -102,7 +102,8 @@ class Parser:
 
     def __init__(self, model: lookalike.Model, common: set[str] = frozenset()):
         self.model = model
-        self.given = set(common) | {skeleton(x) for x in [*NICKNAMES, *NICKNAMES.values(), *SHARED_NICKNAMES]}
+        self.common = set(common)
+        self.given = self.common | {skeleton(x) for x in [*NICKNAMES, *NICKNAMES.values(), *SHARED_NICKNAMES]}
         self.formal = {skeleton(a): skeleton(b) for a, b in NICKNAMES.items()}
         self.longest = max(map(len, self.given))
         self.spelling: dict[str, list[str]] = {}
@@ -119,9 +120,10 @@ class Parser:
                 return self.formal.get(form, form)
         for form in dict.fromkeys((skeleton(token), token)):
             if 4 <= len(form) <= self.longest + 1:
-                found = {self.formal.get(n, n) for key in deletions(form) for n in self.spelling.get(key, ()) if near(form, n)}
-                if len(found) == 1:
-                    return found.pop()
+                found = {n for key in deletions(form) for n in self.spelling.get(key, ()) if near(form, n)}
+                for group in (found & self.common, found):  # a slip of a common name before one of a rare name
+                    if len(meant := {self.formal.get(n, n) for n in group}) == 1:
+                        return meant.pop()
         return None
 
     def _organisation(self, tokens: list[str]) -> Parsed | None:
