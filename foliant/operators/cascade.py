@@ -77,13 +77,17 @@ def author_layer(records: DataFrame, facts: DataFrame, book_authors: DataFrame,
 
 
 def cascade(translations: DataFrame, editions: DataFrame, authors: DataFrame, *, least_title: int = 88, least_author: int = 85) -> DataFrame:
+    """``cascade_keyed`` from the tables of records, editions and author names."""
+    return cascade_keyed(keyed_records(translations), *keyed_books(editions, authors), least_title=least_title, least_author=least_author)
+
+
+def cascade_keyed(records: DataFrame, facts: DataFrame, book_authors: DataFrame, *, least_title: int = 88, least_author: int = 85) -> DataFrame:
     """(nkc_id, layer, book_id, work_id, score): the first layer that hits wins; the rest is ``unmatched``.
 
     Layers: author and title equal; author equal and title similar; title equal and author similar. Records
     without author or title take part in none. Each layer sees only what the layers before left over.
     """
-    records = durable(keyed_records(translations))
-    facts, book_authors = (durable(x) for x in keyed_books(editions, authors))
+    records, facts, book_authors = durable(records), durable(facts), durable(book_authors)
     open_ = records.where("norm_author <> '' AND norm_title <> ''")
     layers = []
     for name, layer in (("exact", exact_layer), ("title", lambda *a: title_layer(*a, least_title)), ("author", lambda *a: author_layer(*a, least_author))):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import codes
 from foliant.functions import text as t
-from foliant.operators import books, cascade, catalogue, charts, labels, nested, point_in_time, profile
+from foliant.operators import books, cascade, catalogue, charts, labels, models, nested, point_in_time, profile
 from foliant.plans.oracle import SQL
 from foliant.session import table
 from foliant.streaming import reviews as review_stream
@@ -204,6 +204,10 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     return profile.ranking(table(spark, d, "translation_labels").distinct(), "translated_cz", "ratings_count_2017", ["work_id", "cutoff_year"])
 
 
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return models.comparison(feature_table(spark, d), key=["work_id", "cutoff_year"])
+
+
 # ---- profiles
 
 
@@ -313,7 +317,7 @@ def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
 _ALL = [
     p4_found, p6_found, p6_known_at_cutoff, catalogue_rows, catalogue_inventory, source_language_top20, publication_years, subfield_values, book_index, isbn_index, work_books, author_index, pool_of_works, record_keys, match_exact,
     match_cascade, match_layers, first_czech_year, matched_metadata, unmatched_works, chart_totals, chart_roll_up, training_rows, label_partition, label_cutoffs, cutoff_years, review_stats, stats_audit, feature_table, split_summary,
-    feature_means, feature_correlations, ranking_metrics, language_counts, language_groups, rates_by_language, distinct_works, filled_shares, ratings_histogram, year_histogram, zero_signal, isbn_forms, written_years, review_years,
+    feature_means, feature_correlations, ranking_metrics, model_comparison, language_counts, language_groups, rates_by_language, distinct_works, filled_shares, ratings_histogram, year_histogram, zero_signal, isbn_forms, written_years, review_years,
     clean_titles, author_names, language_targets, shelves_as_json, pool_of_parts, orders_before, events_json, streamed_counts,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

@@ -203,3 +203,13 @@ def test_normalised_keys_agree_with_the_rule(spark):
     from foliant.functions import text as t
 
     assert all(r.n == normalize_text(r.name) for r in rows.select("name", t.normalize(F.col("name")).alias("n")).collect())
+
+
+def test_models_beat_chance(spark):
+    from foliant.operators import models
+    from foliant.plans.queries import feature_table
+
+    table = feature_table(spark, "/root/testdata/sf0.001").withColumn("split", F.when(F.pmod(F.xxhash64("work_id"), F.lit(3)) == 0, "val").otherwise("train"))
+    table = table.withColumn("translated_cz", (F.col("shelf_fiction") > 0.15).cast("int"))  # a label that one feature decides
+    got = {r.model: r for r in models.comparison(table, key=["work_id", "cutoff_year"]).collect()}
+    assert set(got) == {"popularity", "logistic_balanced", "boosted_trees"} and got["logistic_balanced"].roc_auc > 0.8 and got["boosted_trees"].roc_auc > 0.9
