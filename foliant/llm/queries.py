@@ -71,5 +71,19 @@ c AS (
   UNION ALL SELECT work_id, 'language_code', book_id, rk FROM e WHERE n > 1 AND trim(language_code) NOT IN ('', 'und', '--', 'mul')
   UNION ALL SELECT work_id, 'pub_year', book_id, rk FROM e WHERE n > 1 AND pub_year BETWEEN 1800 AND 2017)
 SELECT work_id, field, min_by(book_id, rk) AS book_id FROM c GROUP BY work_id, field
+""",
+    "p5_golden": f"""
+WITH {_NOW},
+e AS (
+  SELECT work_id, book_id, norm_title, pub_year, lower(regexp_extract(trim(language_code), '^([A-Za-z]+)', 1)) AS code,
+    (ln(1 + CASE WHEN ratings_count >= 0 THEN ratings_count ELSE 0 END) + 0.1) * pow(0.5, (epoch_us((SELECT max(loaded_at) FROM goodreads_book_details)) - epoch_us(loaded_at)) / (365 * 86400e6)) AS w
+  FROM now WHERE trim(work_id) <> ''),
+v AS (
+  SELECT work_id, 'title' AS f, trim(norm_title) AS value, sum(w) AS votes, min(book_id) AS record FROM e WHERE trim(norm_title) <> '' GROUP BY ALL
+  UNION ALL SELECT work_id, 'language', code, sum(w), min(book_id) FROM e WHERE code <> '' AND code NOT IN ('und', 'mul') GROUP BY ALL
+  UNION ALL SELECT work_id, 'year', CAST(pub_year AS VARCHAR), sum(w), min(book_id) FROM e WHERE pub_year BETWEEN 1800 AND 2017 GROUP BY ALL),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY work_id, f ORDER BY votes DESC, record) = 1)
+SELECT g.work_id, g.n_records, {", ".join(f"max(CASE WHEN f = '{f}' THEN value END) AS {f}, max(CASE WHEN f = '{f}' THEN record END) AS {f}_record, max(CASE WHEN f = '{f}' THEN round(votes, 6) END) AS {f}_votes" for f in ("title", "language", "year"))}
+FROM (SELECT work_id, count(*) AS n_records FROM e GROUP BY 1) g LEFT JOIN b USING (work_id) GROUP BY ALL
 """,
 }
