@@ -115,15 +115,15 @@ class Model:
 
     @staticmethod
     def _lone_letters(text: str) -> str:
-        """Words of one letter take the script of all other words, if those agree and have a look-alike."""
+        """Foreign words of one letter become Latin if all other words are; a Latin letter elsewhere may be a numeral."""
         words = [m for m in _WORD.finditer(text)]
         kinds = [script(m[0][0]) for m in words]
         if len(set(kinds)) < 2:
             return text
         for m, k in zip(words, kinds, strict=True):
             others = {x for n, x in zip(words, kinds, strict=True) if n is not m and len(_letters(n[0])) > 1}
-            if len(_letters(m[0])) == 1 and len(others) == 1 and k not in others and (want := others.pop()) >= 0:
-                like = next((c for c in _ALTERNATIVES.get(m[0][0], "") if script(c) == want), None)
+            if len(_letters(m[0])) == 1 and k > 0 and others == {0}:
+                like = next((c for c in _ALTERNATIVES.get(m[0][0], "") if script(c) == 0), None)
                 if like:
                     text = text[: m.start()] + like + text[m.start() + 1 :]
         return text
@@ -164,7 +164,7 @@ def unify(df: DataFrame, columns: list[str], *, suffix: str = "_consistent") ->
     """``df`` with a column ``<c><suffix>`` for each of ``columns``; raises if such a column exists.
 
     Double spaces, case, composed accents, typographic quotes and dashes and words wholly of another script
-    stay; only a single letter among words of one script (an initial, an article) takes their script. Nulls stay null; an empty table gives an empty result; long texts are treated whole.
+    stay; only a single letter among Latin words (an initial, an article) becomes Latin. Nulls stay null; an empty table gives an empty result; long texts are treated whole.
     """
     if clash := {f"{c}{suffix}" for c in columns} & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")

@@ -274,11 +274,14 @@ def _respell(nodes: DataFrame) -> DataFrame:
     initial = F.substring("first", 1, 1)
     people = nodes.where(F.col("first") != "").unionByName(nodes.where("kind = 'organisation'")).groupBy("kind", "family", "first").agg(F.sum("n").alias("n"))
     # a full name meets its like, an initial meets the full names that it fits
+    # keys travel as hashes; what a collision brings together, the comparison parts again
     keyed = people.select("kind", "family", "first", "n", F.explode(_keys(F.col("family"))).alias("key"))
-    asked = keyed.withColumn("meet", F.col("first"))
+    asked = keyed.select(F.xxhash64("kind", "key", "first").alias("key"), "kind", "family", "first", "n")
     offered = keyed.where("length(first) <> 1").select("kind", "key", F.col("family").alias("to"), F.col("n").alias("m"), F.explode(F.array_distinct(F.array("first", initial))).alias("meet"))
+    offered = offered.select(F.xxhash64("kind", "key", "meet").alias("key"), F.col("kind").alias("to_kind"), "to", "m", "meet")
     better = (F.col("to") != F.col("family")) & ((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & ((F.col("to") < F.col("family")) | (F.length("first") == 1))))
-    moves = asked.join(offered, ["kind", "key", "meet"]).where(better & _near(F.col("family"), F.col("to")))
+    same = (F.col("kind") == F.col("to_kind")) & (F.col("first") == F.col("meet"))
+    moves = asked.join(offered, "key").where(same & better & _near(F.col("family"), F.col("to")))
     moves = moves.groupBy("kind", "family", "first").agg(F.max_by("to", F.struct("m", "to")).alias("best"), F.min("to").alias("least"), F.max("to").alias("most"))
     # an initial moves only if one family offers itself, and nobody of its own family fits it
     own = nodes.where("length(first) > 1").select("kind", "family", initial.alias("first")).distinct()
