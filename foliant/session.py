@@ -28,14 +28,12 @@ def local_session(app: str = "foliant", cores: int | None = None, **conf: str) -
     return SparkSession.builder.master(f"local[{n}]").appName(app).config(map=base | conf).getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; checkpoints are set up in it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is taken; on a cluster an unset folder is an error,
-    since files on one machine would not survive the loss of an executor.
+    Only where that is unset, as in tests on one machine, a temporary folder is taken; on a cluster an unset
+    folder is an error, since files on one machine would not survive the loss of an executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", "")
@@ -44,4 +42,10 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="foliant-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

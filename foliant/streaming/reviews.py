@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.point_in_time import written_year
+from foliant.session import shared_folder
 
 
 def review_stream(spark: SparkSession, path: str, *, files_per_batch: int = 8) -> DataFrame:
@@ -30,9 +31,13 @@ def running_counts(reviews: DataFrame, *, late: str = "36500 days") -> DataFrame
     return once.groupBy("book_id", "year").agg(F.count("*").alias("n"), F.sum("rating").alias("s"))
 
 
-def drain(stream: DataFrame, *, mode: str = "complete") -> DataFrame:
-    """Everything that is available now, as a table in memory: for tests and small results."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame) -> DataFrame:
+    """The state of an aggregated stream after everything that is available now.
+
+    Each micro-batch writes the complete state as a table in the shared folder, from the executors; the last
+    one is read back. Nothing passes through the driver.
+    """
+    place = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/state")
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/state")
