@@ -275,7 +275,8 @@ def _respell(nodes: DataFrame) -> DataFrame:
     people = nodes.where(F.col("first") != "").unionByName(nodes.where("kind = 'organisation'")).groupBy("kind", "family", "first").agg(F.sum("n").alias("n"))
     # a full name meets its like, an initial meets the full names that it fits
     keyed = people.select("kind", "family", "first", "n", F.explode(_keys(F.col("family"))).alias("key"))
-    asked = keyed.withColumn("meet", F.col("first"))
+    shared = F.create_map(*[x for k, v in SHARED_NICKNAMES.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in (k, *v)]))])[F.col("first")]
+    asked = keyed.withColumn("meet", F.explode(F.coalesce(shared, F.array("first"))))
     offered = keyed.where("length(first) <> 1").select("kind", "key", F.col("family").alias("to"), F.col("n").alias("m"), F.explode(F.array_distinct(F.array("first", initial))).alias("meet"))
     better = (F.col("to") != F.col("family")) & ((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & ((F.col("to") < F.col("family")) | (F.length("first") == 1))))
     moves = asked.join(offered, ["kind", "key", "meet"]).where(better & _near(F.col("family"), F.col("to")))
