@@ -2,8 +2,9 @@
 
 A prefix-filtered set join. The shingles of the held-out items are ordered by rarity in the corpus; a
 document that reproduces enough of an item must share one of the item's rarest shingles, so only those
-are joined. Candidates are bounded by how many shingles line up within an item-sized window, and verified
-by word alignment: exact runs that may hold single altered words.
+are joined. Candidates are bounded by how many shingles they share (length) and by which of those lie on one
+diagonal (position), and verified by word alignment over windows no longer than the item: exact runs that may
+hold single altered words.
 
 The items are the query set: they go to all executors in blocks of a set size, and the corpus is scanned
 in place. Nothing of the corpus but counts of item shingles and found pairs is ever shuffled.
@@ -35,17 +36,20 @@ RESUME = 3
 ALTERED_EVERY = 8
 #: Shortest run that is a piece of a passage and not a quoted phrase or a stock sentence.
 LEAST_PIECE = 8
+#: The larger piece has at least so many words, and this share of the item's; two stock sentences have not.
+LEAST_LARGER, LEAST_LARGER_SHARE = 14, 0.2
 
 
 def words(text: str | None) -> list[str]:
-    """The words of a text without markup, case and punctuation."""
+    """The words of a text without markup, case and punctuation; an apostrophe parts no word."""
     if not text:
         return []
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    return _WORD.findall((text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text).replace("\u2019", "'")
+    return _WORD.findall(text.replace("'", "").lower())
 
 
 def passages(items: list[tuple[int, str]], stock_items: int = 3) -> dict[int, list[str]]:
@@ -95,7 +99,8 @@ def reproduced(doc: list[int], item: list[int], seeds: list[tuple[int, int]]) ->
 
     A piece is a run, or runs that follow each other in both texts with at most two words between (a word
     dropped or put in). An altered word is not counted and takes one more, so that sentences built alike
-    about other things, where altered words are many, fall short.
+    about other things, where altered words are many, fall short; and the larger piece must be more than a
+    stock sentence. The pieces may stand anywhere in the document and in any order.
     """
     pieces: list[list[int]] = []
     for n, a, x, y, length in sorted(_align(doc, item, seeds), key=lambda r: r[2]):
@@ -107,7 +112,9 @@ def reproduced(doc: list[int], item: list[int], seeds: list[tuple[int, int]]) ->
             pieces.append([n - a, x, y, x + length, y + length])
     pieces = sorted((p for p in pieces if p[0] >= LEAST_PIECE), reverse=True)
     best = 0
-    for k, first in enumerate(pieces[:8]):
+    for k, first in enumerate(pieces):
+        if first[0] < max(LEAST_LARGER, LEAST_LARGER_SHARE * len(item)):
+            break
         other = next((p[0] for p in pieces[k + 1 :] if (p[4] <= first[2] or p[2] >= first[4]) and (p[3] <= first[1] or p[1] >= first[3])), 0)
         best = max(best, first[0] + other)
     return best / len(item)
@@ -184,22 +191,11 @@ class ItemIndex:
             need, length = least_shingles(len(self.texts[item]), self.share), len(self.texts[item])
             if len({q for _, q in pairs}) < need:
                 continue  # length bound: too few of the item's shingles anywhere
-            share = self._windowed(ids, self.texts[item], pairs, 2 * length)
+            share = reproduced(ids, self.texts[item], pairs)
             if share >= self.share:
                 out.append((self.ids[item], share))
         return out
 
-    @staticmethod
-    def _windowed(ids: list[int], item: list[int], pairs: list[tuple[int, int]], reach: int) -> float:
-        """The best share over groups of seeds that lie within reach of one another (positional bound)."""
-        pairs.sort()
-        best, group = 0.0, [pairs[0]]
-        for pair in [*pairs[1:], (1 << 60, 0)]:
-            if pair[0] - group[-1][0] > reach:
-                best, group = max(best, reproduced(ids, item, group)), []
-            group.append(pair)
-        return best
-
 
 def find_leaks(corpus: DataFrame, items: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", share: float = 1 / 3, block_items: int = 20_000) -> DataFrame:
     """(doc, item, share) of each document that reproduces ``share`` or more of an item's passage.

@@ -35,9 +35,11 @@ DOCS = {
     6: altered(ITEMS[5], 3),  # built alike, every third word another
     7: filler(200, 7),
     8: ITEMS[6][:30] + filler(5, 8) + ITEMS[7][:45],  # two items
+    10: ITEMS[0][40:] + filler(400, 10) + ITEMS[0][:15],  # two pieces far apart, in the other order
+    11: ITEMS[4][:13] + filler(9, 11) + ITEMS[4][50:63],  # two quoted sentences
     9: ITEMS[0][:25] + ["put", "in"] + ITEMS[0][25:45],
 }
-EXPECTED = {(1, 0), (2, 1), (3, 2), (4, 3), (8, 6), (8, 7), (9, 0)}
+EXPECTED = {(1, 0), (2, 1), (3, 2), (4, 3), (8, 6), (8, 7), (9, 0), (10, 0)}
 
 
 def tables(spark):
@@ -64,6 +66,11 @@ def test_empty(spark):
     assert k.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_words():
+    assert k.words("Sam's <b>DOG</b>,\n> don’t &amp; stop–now") == ["sams", "dog", "dont", "stop", "now"]
+    assert k.words(None) == k.words("") == []
+
+
 def test_stock_prompts_are_no_passage():
     items = [(i, f"Answer this. {' '.join(passage(20, i))}") for i in range(3)] + [(9, "Only once. " + " ".join(passage(20, 9)))]
     got = k.passages(items)
@@ -82,10 +89,11 @@ def brute(doc, item):
                 n += 1
             if n >= k.LEAST_PIECE:
                 runs.append((n, x, y))
-    best = max((a[0] for a in runs), default=0)
+    enough = max(k.LEAST_LARGER, k.LEAST_LARGER_SHARE * len(item))
+    best = max((a[0] for a in runs if a[0] >= enough), default=0)
     for a in runs:
         for b in runs:
-            if a[1] + a[0] <= b[1] and (a[2] + a[0] <= b[2] or b[2] + b[0] <= a[2]):
+            if max(a[0], b[0]) >= enough and a[1] + a[0] <= b[1] and (a[2] + a[0] <= b[2] or b[2] + b[0] <= a[2]):
                 best = max(best, a[0] + b[0])
     return best / len(item)
 
