@@ -24,6 +24,8 @@ from foliant.session import durable
 TOKENIZERS = os.environ.get("FOLIANT_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how byte-level BPE of this vocabulary splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Shards grow beyond their usual size rather than exceed this number, which bounds what the driver holds.
+MOST_SHARDS = 10_000
 
 
 @lru_cache(maxsize=4)
@@ -103,9 +105,8 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc: str = "doc_id", text:
     under another id is another document; a doc repeated under one id counts once (its greatest text).
     ``copies`` is never more than max_repeats (null or negative: 0).
 
-    A shard holds about ``shard_tokens`` tokens, whatever the source's size, so the ordering within a
-    (shard, source) is a bounded window however large a source is. What reaches the driver is a number for
-    each (shard, source).
+    A shard holds about ``shard_tokens`` tokens (more beyond MOST_SHARDS shards), so no source, however large,
+    is ordered in one window. What reaches the driver is a number for each (shard, source).
     """
     spark = documents.sparkSession
     want = {r["s"]: (r["share"], max(0, r["reps"] or 0)) for r in targets.select(source_key(F.col("source")).alias("s"), F.col("target_share").alias("share"), F.col("max_repeats").alias("reps")).where("s IS NOT NULL AND share > 0").collect()}
@@ -114,7 +115,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc: str = "doc_id", text:
     sized = sized.groupBy("doc").agg(F.max(F.struct("n_tokens", "source")).alias("x")).select("doc", "x.source", "x.n_tokens")
     sized = durable(sized)  # tokenised once; ids and sizes only
     totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    shards = max(1, ceil(sum(totals.values()) / shard_tokens))
+    shards = min(MOST_SHARDS, max(1, ceil(sum(totals.values()) / shard_tokens)))
     placed = sized.withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(shards)).cast("int"))
     held: dict[str, dict[int, int]] = {}
     for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect():
