@@ -35,13 +35,17 @@ class Batch:
         return readers.step(self.spark, f"{self.out}/{name}", build, force=self.force)
 
     def translations(self, *, limit: int | None = None, min_year: int | None = None) -> DataFrame:
-        """Catalogue rows; ``limit`` reads only so many records, for a smoke test."""
+        """Catalogue rows; ``limit`` reads only so many records, for a smoke test.
+
+        A run with ``limit`` or ``min_year`` is a step of another name, so later steps only read the complete table.
+        """
 
         def build() -> DataFrame:
             records = readers.read_catalogue(self.spark, self.catalogue)
             return catalogue.translation_rows(records.limit(limit) if limit is not None else records, min_year=min_year).select(*catalogue.COLUMNS)
 
-        return self._step("translations", build)
+        part = "".join(f"-{k}{v}" for k, v in (("limit", limit), ("min", min_year)) if v is not None)
+        return self._step(f"translations{part}", build)
 
     def coverage(self) -> DataFrame:
         return self._step("coverage", lambda: catalogue.inventory(readers.read_catalogue(self.spark, self.catalogue)))

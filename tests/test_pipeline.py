@@ -40,3 +40,13 @@ def test_batch(spark, tmp_path, capsys):
     main(["parse", "--out", str(tmp_path / "cli"), "--catalogue", paths["catalogue"], "--limit", "2", "--min-year", "2010", "--csv", "--report"])
     assert "parse: 1 rows" in capsys.readouterr().out
     assert list((tmp_path / "cli" / "parse.csv").glob("*.csv")) and list((tmp_path / "cli" / "coverage_report.json").glob("*.json"))
+
+
+def test_limited_parse_is_no_step_of_later_commands(spark, tmp_path):
+    paths = raw(tmp_path)
+    batch = Batch(spark, str(tmp_path / "out"), **paths)
+    assert (batch.translations(limit=1).count(), batch.translations(min_year=2010).count(), batch.translations(limit=2, min_year=2010).count()) == (1, 2, 1)
+    assert batch.translations(limit=2).count() == 2  # not the rows of another limit
+    assert batch.translations().count() == 3
+    assert {r.layer for r in batch.matched().collect()} == {"exact"} and batch.matched().count() == 3
+    assert batch.labels().where("translated_cz = 1").count() == 3
