@@ -116,15 +116,27 @@ def first_czech_year(spark: SparkSession, d: str) -> DataFrame:
     return cascade.first_year(_records(spark, d))
 
 
-def matched_metadata(spark: SparkSession, d: str) -> DataFrame:
+# What follows from the match comes twice: of the exact layer alone, which SQL can say, and as ``cascade_...`` of the
+# winners of all layers, which is the whole job (as in the reference and in the pipeline).
+
+
+def matched_metadata(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
     """Facts of the matched books, by a semi join with the winners."""
     facts, _ = _books(spark, d)
-    return facts.join(match_exact(spark, d), "book_id", "left_semi")
+    return facts.join(match(spark, d), "book_id", "left_semi")
+
+
+def cascade_matched_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return matched_metadata(spark, d, match_cascade)
 
 
-def unmatched_works(spark: SparkSession, d: str) -> DataFrame:
-    """Works of the pool that no record matches exactly."""
-    return table(spark, d, "candidate_pool").select("work_id").distinct().join(match_exact(spark, d), "work_id", "left_anti")
+def unmatched_works(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
+    """Works of the pool that no record matches."""
+    return table(spark, d, "candidate_pool").select("work_id").distinct().join(match(spark, d), "work_id", "left_anti")
+
+
+def cascade_unmatched_works(spark: SparkSession, d: str) -> DataFrame:
+    return unmatched_works(spark, d, match_cascade)
 
 
 # ---- charts: reviews stand in for chart rows (rank = rating, category = language of the edition)
@@ -147,28 +159,44 @@ def chart_roll_up(spark: SparkSession, d: str) -> DataFrame:
     return charts.roll_up(works, charts.chart_totals(_chart(spark, d)), key="work_id", numbers="numbers")
 
 
-def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    facts, authors = _books(spark, d)
+def training_rows(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
+    facts, _ = _books(spark, d)
     records = _records(spark, d)
-    found = cascade.exact_layer(records.where("norm_author <> '' AND norm_title <> ''"), facts, authors).withColumn("layer", F.lit("exact"))
+    found = match(spark, d).where("book_id IS NOT NULL").select("nkc_id", "book_id", F.lit("matched").alias("layer"))
     rows = records.join(found, "nkc_id").join(facts.select("book_id", "ratings"), "book_id").join(cascade.first_year(records), ["norm_author", "norm_title"], "left").withColumn("appearances", F.col("ratings") % 3)
     return charts.training_rows(rows)
 
 
+def cascade_training_rows(spark: SparkSession, d: str) -> DataFrame:
+    return training_rows(spark, d, match_cascade)
+
+
 # ---- labels and features
 
 
-def label_partition(spark: SparkSession, d: str) -> DataFrame:
-    found = match_exact(spark, d)
+def label_partition(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
+    found = match(spark, d)
     return labels.partition(table(spark, d, "candidate_pool").distinct(), cascade.first_year_of_works(found, _records(spark, d))).select("work_id", "title", "pub_year", "first_cz_year", "part")
 
 
-def label_cutoffs(spark: SparkSession, d: str) -> DataFrame:
-    return labels.cutoffs(label_partition(spark, d)).select("work_id", "title", "pub_year", "translated_cz", "cutoff_year")
+def cascade_label_partition(spark: SparkSession, d: str) -> DataFrame:
+    return label_partition(spark, d, match_cascade)
+
+
+def label_cutoffs(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
+    return labels.cutoffs(label_partition(spark, d, match)).select("work_id", "title", "pub_year", "translated_cz", "cutoff_year")
+
+
+def cascade_label_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    return label_cutoffs(spark, d, match_cascade)
+
+
+def cutoff_years(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
+    return labels.year_distribution(label_partition(spark, d, match))
 
 
-def cutoff_years(spark: SparkSession, d: str) -> DataFrame:
-    return labels.year_distribution(label_partition(spark, d))
+def cascade_cutoff_years(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff_years(spark, d, match_cascade)
 
 
 def review_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -319,6 +347,7 @@ _ALL = [
     match_cascade, match_layers, first_czech_year, matched_metadata, unmatched_works, chart_totals, chart_roll_up, training_rows, label_partition, label_cutoffs, cutoff_years, review_stats, stats_audit, feature_table, split_summary,
     feature_means, feature_correlations, ranking_metrics, model_comparison, language_counts, language_groups, rates_by_language, distinct_works, filled_shares, ratings_histogram, year_histogram, zero_signal, isbn_forms, written_years, review_years,
     clean_titles, author_names, language_targets, shelves_as_json, pool_of_parts, orders_before, events_json, streamed_counts,
+    cascade_matched_metadata, cascade_unmatched_works, cascade_training_rows, cascade_label_partition, cascade_label_cutoffs, cascade_cutoff_years,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
