@@ -226,9 +226,10 @@ def _blocks(df: DataFrame, side: list[str], frequency: DataFrame) -> DataFrame:
 def candidates(records: DataFrame, works: DataFrame, block_pairs: int = 50_000) -> DataFrame:
     """Pairs (record form, work title) that share a block, from several passes.
 
-    Pass 1: same family name and one of the title's three rarest words. Pass 2, for the blocks of pass 1 with
-    more than ``block_pairs`` pairs: same family name and two words of the title, or a title at one letter's
-    distance; a pair may come out of several of these. Pass 3, for records without a name: the same title, of one work only.
+    Pass 1: same family name and one of the title's three rarest words. A block of more than ``block_pairs`` pairs
+    is cut on both sides into parts, and each pair of parts is a cell of about so many pairs at most; so tasks stay
+    small and the pairs are the same whatever ``block_pairs``. Pass 2, for records without a name: the same title,
+    of one work only.
     """
     frequency = works.select(F.explode(F.array_distinct(F.split("title", " "))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     left, right = ["r_entity", "title", "volume"], ["work_id", "w_entity", "title", "volume"]
@@ -236,25 +237,24 @@ def candidates(records: DataFrame, works: DataFrame, block_pairs: int = 50_000)
     a = durable(_blocks(named, left, frequency).withColumnsRenamed({"title": "r_title", "volume": "r_volume", "rare": "r_rare"}))
     b = durable(_blocks(works, right, frequency).withColumnsRenamed({"title": "w_title", "volume": "w_volume", "rare": "w_rare"}))
     once = F.get(F.array_intersect("r_rare", "w_rare"), F.lit(0)) == F.col("token")  # of the blocks that a pair shares, the first
-    size = a.groupBy("family", "token").agg(F.count("*").alias("na")).join(b.groupBy("family", "token").agg(F.count("*").alias("nb")), ["family", "token"]).where(F.col("na") * F.col("nb") > block_pairs).select("family", "token")
-    size = durable(size)  # blocks that are too large: seldom any
+    side = max(1, math.isqrt(block_pairs))
+    parts = lambda n: F.ceil(F.col(n) / side).cast("int")
+    size = a.groupBy("family", "token").agg(F.count("*").alias("na")).join(b.groupBy("family", "token").agg(F.count("*").alias("nb")), ["family", "token"]).where(F.col("na") * F.col("nb") > block_pairs)
+    size = durable(size.select("family", "token", parts("na").alias("pa"), parts("nb").alias("pb")))  # blocks that are too large for one task: seldom any
     out = ["family", "r_entity", "r_title", "r_volume", "work_id", "w_entity", "w_title", "w_volume"]
-    if size.limit(1).count() == 0:
-        pairs = a.join(b, ["family", "token"]).where(once).select(*out)
-    else:
-        fine = a.join(size, ["family", "token"], "left_anti").join(b.join(size, ["family", "token"], "left_anti"), ["family", "token"]).select(*out)
-
-        def fine_keys(df: DataFrame, title: str) -> DataFrame:
-            words = F.array_distinct(F.split(title, " "))
-            few = F.array_sort(words)
-            two = F.flatten(F.transform(few, lambda x: F.transform(F.filter(few, lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))
-            pair = lambda i: F.concat_ws(" ", F.array_sort(F.slice(words, i, 2)))
-            many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), pair)  # of very long titles, neighbours only
-            slips = F.transform(names.one_slip_keys(F.col(title)), lambda k: F.concat(F.lit("~"), k))
-            return df.drop("token", "r_rare", "w_rare").distinct().withColumn("key", F.explode(F.array_distinct(F.concat(F.when(F.size(words) <= 20, two).otherwise(many), slips))))
-
-        hot = fine_keys(a.join(size, ["family", "token"], "left_semi"), "r_title").join(fine_keys(b.join(size, ["family", "token"], "left_semi"), "w_title"), ["family", "key"]).select(*out)
-        pairs = fine.unionByName(hot)
+
+    def cells(df: DataFrame, own: str, other: str, form: list[str]) -> DataFrame:
+        """Each row in one part of its side of the block, and in a row for each part of the other side."""
+        cut = df.join(F.broadcast(size) if few else size, ["family", "token"], "left")
+        mine = F.pmod(F.xxhash64(*form), F.coalesce(own, F.lit(1))).cast("int").alias(own)
+        return cut.select(*df.columns, mine, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other))
+
+    hot = size.limit(1001).count()
+    few = hot <= 1000
+    if hot:
+        a = cells(a, "pa", "pb", ["r_entity", "r_title", "r_volume"])
+        b = cells(b, "pb", "pa", ["work_id", "w_entity", "w_title", "w_volume"])
+    pairs = a.join(b, ["family", "token", *(["pa", "pb"] if hot else [])]).where(once).select(*out)
     nameless = records.where("family IS NULL AND title <> ''").select("r_entity", F.col("title").alias("r_title"), F.col("volume").alias("r_volume"))
     single = works.groupBy("title", "volume").agg(F.min("work_id").alias("work_id"), F.max("work_id").alias("other")).where("work_id = other").select("work_id", F.lit(None).cast("string").alias("w_entity"), F.col("title").alias("w_title"), F.col("volume").alias("w_volume"))
     alone = nameless.join(single, (F.col("r_title") == F.col("w_title")) & (F.col("r_volume") == F.col("w_volume"))).withColumn("family", F.lit(None).cast("string")).select(*out)

@@ -87,6 +87,21 @@ def test_refined_blocks_find_the_same(spark):
         k.candidates.__defaults__ = old
 
 
+def test_large_blocks_have_the_pairs_of_small_ones(spark):
+    """Titles with a slip in each word, or within a longer title, are compared whatever the size of their block."""
+    works = ["frozen chapel lantern", "frozen chapel garden", "silent chapel", *[f"lantern {chr(97 + i)}oru" for i in range(20)]]
+    records = ["frosen chapal lantern", "frosen chapel", "silent chapel", *[f"lantern {chr(97 + i)}omu" for i in range(20)]]
+    left = spark.createDataFrame([("novak", "p|novak|eva", t, 0) for t in records], "family string, r_entity string, title string, volume long")
+    right = spark.createDataFrame([("novak", f"w{i}", "p|novak|eva", t, 0) for i, t in enumerate(works)], "family string, work_id string, w_entity string, title string, volume long")
+    pairs = lambda n: sorted((r.r_title, r.w_title) for r in k.candidates(left, right, n).collect())
+    usual = pairs(10**9)
+    assert {("frosen chapal lantern", works[0]), ("frosen chapel", works[1])} <= set(usual) and len(set(usual)) == len(usual) > 400
+    assert [k.title_level(a, b, 0, 0) for a, b in ((records[0], works[0]), (records[1], works[1]))] == [4, 3]
+    for n in (0, 1, 50):
+        got = pairs(n)
+        assert set(usual) - set(got) == set() and got == usual
+
+
 def test_empty(spark):
     translations, editions, authors = tables(spark)
     assert k.link(translations.limit(0), editions.limit(0), authors.limit(0)).count() == 0
