@@ -51,9 +51,11 @@ def pre_cutoff_stats(labels: DataFrame, reviews: DataFrame, editions: DataFrame)
     """Ratings, mean rating and reviews with text of each (work, cutoff), strictly before the cutoff year.
 
     Every labelled (work, cutoff) has a row: zeros and a null mean without reviews. A review delivered several
-    times counts once. Reviews are reduced to sums per (book, year) before they meet works and cutoffs.
+    times counts once, and each one without id counts. Reviews are reduced to sums per (book, year) before they meet
+    works and cutoffs.
     """
-    rows = reviews.select("review_id", "book_id", "rating", "review_text", "date_added").dropDuplicates(["review_id"])
+    alone = F.when(F.col("review_id").isNull(), F.monotonically_increasing_id())  # null ids are no repeats of each other
+    rows = reviews.select("review_id", "book_id", "rating", "review_text", "date_added", alone.alias("alone")).dropDuplicates(["review_id", "alone"])
     rated = F.col("rating").between(1, 5)
     text = F.trim(F.coalesce("review_text", F.lit(""))) != ""
     rows = rows.select("book_id", written_year(F.col("date_added")).alias("year"), F.when(rated, F.col("rating")).alias("r"), text.cast("int").alias("t")).where("year IS NOT NULL")

@@ -213,3 +213,14 @@ def test_models_beat_chance(spark):
     table = table.withColumn("translated_cz", (F.col("shelf_fiction") > 0.15).cast("int"))  # a label that one feature decides
     got = {r.model: r for r in models.comparison(table, key=["work_id", "cutoff_year"]).collect()}
     assert set(got) == {"popularity", "logistic_balanced", "boosted_trees"} and got["logistic_balanced"].roc_auc > 0.8 and got["boosted_trees"].roc_auc > 0.9
+
+
+def test_reviews_without_id_count_each(spark):
+    from datetime import datetime
+
+    written = "Sun Jan 01 10:00:00 -0800 2005"
+    rows = [(None, "b1", 4, "good", written), (None, "b1", 2, "", written), (None, "b1", 2, "", written), ("r1", "b1", 5, "fine", written), ("r1", "b1", 5, "fine", written)]
+    reviews = spark.createDataFrame(rows, "review_id string, book_id string, rating int, review_text string, date_added string").repartition(3)
+    asked = spark.createDataFrame([("w1", 2010), ("w1", 2004)], "work_id string, cutoff_year int")
+    editions = spark.createDataFrame([("b1", "w1", datetime(2017, 1, 1))], "book_id string, work_id string, loaded_at timestamp")
+    assert sorted(map(tuple, labels.pre_cutoff_stats(asked, reviews, editions).collect())) == [("w1", 2004, 0, None, 0), ("w1", 2010, 4, 3.25, 2)]
