@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 import shutil
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -18,13 +20,45 @@ RECORD = (
 )
 
 
+_CONTROL = re.compile(r"<(?:\w+:)?controlfield\b([^<>]*)>([^<]*)")
+_DATA = re.compile(r"<(?:\w+:)?datafield\b([^<>]*)>")
+_SUB = re.compile(r"<(?:\w+:)?subfield\b([^<>]*)>([^<]*)")
+_DATA_END = re.compile(r"</(?:\w+:)?datafield\s*>")
+_ATTRIBUTE = re.compile(r"""([\w:]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+_REFERENCE = re.compile(r"&(#\d{1,7}|#x[0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);")
+
+
+def recover_record(text: str) -> dict[str, list]:
+    """The fields of a record with a syntax fault, as far as their tags can be read; stray & stays as it is."""
+    plain = lambda x: _REFERENCE.sub(lambda m: html.unescape(m[0]), x)
+    named = lambda x: {m[1]: plain(m[2] if m[2] is not None else m[3]) for m in _ATTRIBUTE.finditer(x)}
+    control = [{"_tag": named(m[1]).get("tag"), "_VALUE": plain(m[2])} for m in _CONTROL.finditer(text)]
+    starts = list(_DATA.finditer(text))
+    data = []
+    for k, m in enumerate(starts):
+        inside = _DATA_END.split(text[m.end() : starts[k + 1].start() if k + 1 < len(starts) else len(text)])[0]
+        own = named(m[1])
+        data.append({"_tag": own.get("tag"), "_ind1": own.get("ind1"), "_ind2": own.get("ind2"), "subfield": [{"_code": named(s[1]).get("code"), "_VALUE": plain(s[2])} for s in _SUB.finditer(inside)]})
+    return {"controlfield": control, "datafield": data}
+
+
 def read_catalogue(spark: SparkSession, path: str, *, row_tag: str = "record") -> DataFrame:
     """Catalogue records from XML, split by record tag, in the shape of the nkc_records table.
 
-    Namespaces are ignored and broken records skipped. A file that is named .gz but holds plain text must be
-    read under another name first (``plain_copy``): the codec is chosen by the name.
+    Namespaces are ignored. A record with a syntax fault is kept, with the fields that ``recover_record`` reads; for
+    this the parser must be the one that parses each record by itself, as the newer one ends a file at a fault. A
+    file that is named .gz but holds plain text must be read under another name first (``plain_copy``): the codec
+    is chosen by the name.
     """
-    raw = spark.read.schema(RECORD).option("rowTag", row_tag).option("mode", "DROPMALFORMED").option("ignoreNamespace", "true").xml(path)
+    options = {"rowTag": row_tag, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreNamespace": "true", "useLegacyXMLParser": "true"}
+    raw = spark.read.schema(f"{RECORD}, _broken string").options(**options).xml(path)
+
+    @F.pandas_udf(f"struct<{RECORD.replace(' array', ':array')}>")
+    def recovered(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([recover_record(x) if x else {"controlfield": None, "datafield": None} for x in texts], columns=["controlfield", "datafield"])
+
+    raw = raw.withColumn("_recovered", recovered("_broken"))
+    raw = raw.select(*[F.when(F.col("_broken").isNull(), F.col(c)).otherwise(F.col(f"_recovered.{c}")).alias(c) for c in ("controlfield", "datafield")])
     control = F.transform("controlfield", lambda c: F.struct(c["_tag"].alias("tag"), c["_VALUE"].alias("text")))
     subfields = lambda f: F.transform(f["subfield"], lambda s: F.struct(s["_code"].alias("code"), s["_VALUE"].alias("text")))
     data = F.transform("datafield", lambda f: F.struct(f["_tag"].alias("tag"), f["_ind1"].alias("ind1"), f["_ind2"].alias("ind2"), subfields(f).alias("subfield")))

@@ -224,3 +224,14 @@ def test_reviews_without_id_count_each(spark):
     asked = spark.createDataFrame([("w1", 2010), ("w1", 2004)], "work_id string, cutoff_year int")
     editions = spark.createDataFrame([("b1", "w1", datetime(2017, 1, 1))], "book_id string, work_id string, loaded_at timestamp")
     assert sorted(map(tuple, labels.pre_cutoff_stats(asked, reviews, editions).collect())) == [("w1", 2004, 0, None, 0), ("w1", 2010, 4, 3.25, 2)]
+
+
+def test_broken_xml_records_are_kept(spark, tmp_path):
+    record = '<record><controlfield tag="001">%s</controlfield><datafield tag="041" ind1="1" ind2=" "><subfield code="a">cze</subfield><subfield code="h">eng</subfield></datafield><datafield tag="245" ind1=" " ind2=" "><subfield code="a">%s</datafield></record>'
+    whole = [("n1", "Dobro &amp; zlo</subfield>"), ("n2", "Krakatit</subfield>")]
+    broken = [("n3", "Dobro & zlo</subfield>"), ("n4", "Bez konce"), ("n5", "Jiny konec</subfeld>")]
+    path = tmp_path / "dump.xml"
+    path.write_text('<collection xmlns="http://www.loc.gov/MARC21/slim">' + "\n".join(record % x for x in [whole[0], *broken, whole[1]]) + "</collection>")
+    records = readers.read_catalogue(spark, str(path))
+    assert {r.nkc_id: r.czech_title for r in catalogue.translation_rows(records).collect()} == {"n1": "Dobro & zlo", "n2": "Krakatit", "n3": "Dobro & zlo", "n4": "Bez konce", "n5": "Jiny konec"}
+    assert catalogue.inventory(records).first().total_records == 5
