@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,25 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def successive(start: DataFrame, step: Callable[[DataFrame], DataFrame], ended: Callable[[DataFrame], bool]) -> DataFrame:
+    """``step`` applied to ``start`` again and again until ``ended``.
+
+    Each state is a table in the shared folder, and the one before it is deleted once it is written.
+    """
+    spark = start.sparkSession
+    folder = f"{shared_folder(spark)}/successive-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{folder}/{k}")
+        if k:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return spark.read.schema(df.schema).parquet(f"{folder}/{k}")
+
+    state, k = written(start, 0), 0
+    while not ended(state):
+        k += 1
+        state = written(step(state), k)
+    return state
