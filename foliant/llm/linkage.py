@@ -278,7 +278,6 @@ def link(translations: DataFrame, editions: DataFrame, authors: DataFrame, *, le
     owners = authors.where(F.trim("name") != "").select("author_id", "name").distinct()
     others = translations.select(F.explode(F.split("secondary_authors", r"\|")).alias("name"))  # spellings that bridge others
     entities = durable(names.resolve(translations.select(F.col("author").alias("name")).unionAll(others).unionAll(owners.select("name"))))
-    entities = entities.select("name", "entity", F.element_at(F.split("entity", r"\|"), 2).alias("family"))
     model = lookalike.ngram_model(translations, ["original_title", "czech_title"])
     subtitles = _subtitles(translations)
     records = _prepare_records(translations, model, subtitles)
