@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import lookalike, names
@@ -115,18 +116,13 @@ def words_level(a: str, b: str) -> int:
     return 1 if 2 * same >= max(len(x), len(y)) else 0
 
 
-def title_level(a: str, b: str, volume_a: int, volume_b: int) -> int:
-    """5 equal; 4 but for slips; 3 one holds the other; 2 that far, but only one names a volume; 1 half of the words; 0 less, or another volume; -1 unknown."""
-    if not a or not b:
-        return -1
-    level = words_level(a, b)
-    if level < 2 or volume_a == volume_b:
-        return level + (level > 1)
-    return 0 if volume_a and volume_b else 2
+def volume_level(a: int, b: int) -> int:
+    """2 the same volume, or none named; 1 only one names a volume; 0 another volume."""
+    return 2 if a == b else 0 if a and b else 1
 
 
-#: The compared attributes and their highest levels.
-ATTRIBUTES = {"author": 2, "title": 5, "year": 1, "language": 1}
+#: The compared attributes and their highest levels. Author: 3 the same entity, 2 one family and a first name that fits (an initial, a nickname, a slip), 1 one family; -1 unknown.
+ATTRIBUTES = {"author": 3, "title": 4, "volume": 2, "year": 1, "language": 1}
 
 
 @dataclass
@@ -146,14 +142,18 @@ class Weights:
         return 1 / (1 + math.exp(min(700.0, b - a)))
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], levels: list[int], rounds: int = 60) -> Weights:
-    """Fit on counts of agreement patterns; a level of -1 is unknown and says nothing.
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int, bool]], levels: list[int], rounds: int = 10_000) -> Weights:
+    """Fit on (pattern, count, possible) of agreement patterns; a level of -1 is unknown and says nothing.
 
-    Starts from full agreement as match, and ends when the share of matches moves by less than 1e-7.
+    Pairs that are not possible are known non-matches: they tell how often non-matches agree. Starts from full agreement
+    as match, and ends when the share of matches moves by less than 1e-7; warns if that takes more than ``rounds``.
     """
-    count = np.array([n for _, n in patterns], float)
-    table = np.array([p for p, _ in patterns], int).reshape(len(patterns), len(levels))
-    g = np.clip(np.mean([np.where(table[:, k] < 0, 0.5, table[:, k] / max(1, top)) for k, top in enumerate(levels)], axis=0), 0.01, 0.99) ** 3
+    if not patterns:
+        return Weights([{} for _ in levels], [{} for _ in levels], 0.5)
+    count = np.array([n for _, n, _ in patterns], float)
+    possible = np.array([p for _, _, p in patterns], bool)
+    table = np.array([p for p, _, _ in patterns], int).reshape(len(patterns), len(levels))
+    g = np.clip(np.mean([np.where(table[:, k] < 0, 0.5, table[:, k] / max(1, top)) for k, top in enumerate(levels)], axis=0), 0.01, 0.99) ** 3 * possible
     share, weights = 0.5, None
     for _ in range(rounds):
         m, u = [], []
@@ -166,13 +166,14 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], levels
                 pu[v] = (float((count * (1 - g))[own].sum()) + 0.1) / (float((count * (1 - g))[known].sum()) + 0.1 * (top + 1))
             m.append(pm)
             u.append(pu)
-        new = min(0.999, max(0.001, float((count * g).sum() / max(count.sum(), 1.0))))
+        new = min(0.999, max(1e-9, float((count * g).sum() / max(count.sum(), 1.0))))
         weights = Weights(m, u, new)
-        g = np.array([weights.posterior(p) for p, _ in patterns])
+        g = np.array([weights.posterior(p) for p, _, _ in patterns]) * possible
         if abs(new - share) < 1e-7:
-            break
+            return weights
         share = new
-    return weights or Weights([{} for _ in levels], [{} for _ in levels], 0.5)
+    warnings.warn(f"no convergence in {rounds} rounds", stacklevel=2)
+    return weights
 
 
 def _subtitles(records: DataFrame) -> frozenset[str]:
@@ -215,33 +216,59 @@ def _prepare_works(now: DataFrame, subtitles: frozenset[str]) -> tuple[DataFrame
     return titles, works
 
 
-def _blocks(df: DataFrame, side: list[str], frequency: DataFrame) -> DataFrame:
-    """A row for each of a title's three rarest words (``token``), with all three (``rare``)."""
-    words = df.select("family", *side, F.explode(F.array_distinct(F.split("title", " "))).alias("token")).join(frequency, "token", "left")
-    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))  # the words of one title
-    rare = words.groupBy("family", *side).agg(F.slice(F.transform(ranked, lambda x: x["token"]), 1, 3).alias("rare"))
-    return rare.withColumn("token", F.explode("rare"))
+def _word_table(forms: DataFrame, works: DataFrame) -> DataFrame:
+    """(text, df, near) of each word of a title, and of each title written as one word (=...): its works, and the spellings one slip away."""
 
+    def texts(df: DataFrame, n: Column) -> DataFrame:
+        return df.select("title", n.alias("n")).distinct().select(F.explode(F.concat(F.array_distinct(F.split("title", " ")), F.array(_joined(F.col("title"))))).alias("text"), "n")
 
-def candidates(records: DataFrame, works: DataFrame, block_pairs: int = 50_000) -> DataFrame:
-    """Pairs (record form, work title) that share a block, from several passes.
+    counted = texts(works, F.lit(1)).unionAll(texts(forms, F.lit(0))).groupBy("text").agg(F.sum("n").alias("df"))
+    counted = durable(counted.select(F.when(F.startswith("text", F.lit("=")), "title").otherwise("word").alias("kind"), "text", "df"))
+    return durable(counted.join(names.close_spellings(counted), ["kind", "text"], "left").select("text", "df", F.coalesce("near", F.array().cast("array<string>")).alias("near")))
+
+
+def _joined(title: Column) -> Column:
+    return F.concat(F.lit("="), F.replace(title, F.lit(" "), F.lit("")))
+
+
+def _words_of(df: DataFrame, table: DataFrame) -> DataFrame:
+    """(title, words, sets, joined_set) of each title: its words from the rarest on, short ones last, each with its near spellings; likewise the title as one word."""
+    titles = df.select("title").distinct()
+    words = titles.select("title", F.explode(F.concat(F.array_distinct(F.split("title", " ")), F.array(_joined(F.col("title"))))).alias("text")).join(table, "text")
+    one = F.struct(F.startswith("text", F.lit("=")).alias("whole"), (F.length("text") < 3).alias("short"), "df", "text", "near")
+    rows = words.groupBy("title").agg(F.array_sort(F.collect_list(one)).alias("w"))  # the words of one title; the whole comes last
+    sets = F.transform("w", lambda x: F.concat(F.array(x["text"]), x["near"]))
+    n = F.size("w") - 1
+    return rows.select("title", F.slice("w.text", F.lit(1), n).alias("words"), F.slice(sets, F.lit(1), n).alias("sets"), F.element_at(sets, -1).alias("joined_set"))
 
-    Pass 1: same family name and one of the title's three rarest words. A block of more than ``block_pairs`` pairs
-    is cut on both sides into parts, and each pair of parts is a cell of about so many pairs at most; so tasks stay
-    small and the pairs are the same whatever ``block_pairs``. Pass 2, for records without a name: the same title,
-    of one work only.
+
+def candidates(records: DataFrame, works: DataFrame, block_pairs: int = 50_000) -> DataFrame:
+    """Pairs (record form, work title) that share a block, from several passes, none twice.
+
+    Of two titles that agree but for slips or one of which holds the other, all words of the shorter are in the longer or
+    one slip away from a word of it. So, with the same family name, passes 1 and 2 join the rarest word of one title, in all its spellings,
+    with all words of the other: every such pair meets. Pass 3 joins titles that as one word are a slip apart (spaces moved).
+    A block of more than ``block_pairs`` pairs is cut on both sides into parts, and each pair of parts is a cell of about
+    so many pairs at most; so tasks stay small and the pairs are the same whatever ``block_pairs``.
+    Pass 4 goes without the family name, where one side has no author: the same title, if it is that of one work only (of one only of the works without author).
     """
-    frequency = works.select(F.explode(F.array_distinct(F.split("title", " "))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    left, right = ["r_entity", "title", "volume"], ["work_id", "w_entity", "title", "volume"]
-    named = records.where("family IS NOT NULL")
-    a = durable(_blocks(named, left, frequency).withColumnsRenamed({"title": "r_title", "volume": "r_volume", "rare": "r_rare"}))
-    b = durable(_blocks(works, right, frequency).withColumnsRenamed({"title": "w_title", "volume": "w_volume", "rare": "w_rare"}))
-    once = F.get(F.array_intersect("r_rare", "w_rare"), F.lit(0)) == F.col("token")  # of the blocks that a pair shares, the first
+    table = _word_table(records, works)
+    a = records.where("family IS NOT NULL").join(_words_of(records, table), "title")
+    b = works.where("family IS NOT NULL").join(_words_of(works, table), "title")
+    tagged = lambda tag, xs: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
+    everything = F.array_distinct(F.flatten("sets"))
+    left = {"r_entity": "r_entity", "r_first": "first", "r_title": "title", "r_volume": "volume"}
+    right = {"work_id": "work_id", "w_entity": "w_entity", "w_family": "family", "w_first": "first", "w_title": "title", "w_volume": "volume"}
+    a = durable(a.select("family", *[F.col(o).alias(n) for n, o in left.items()], F.get("sets", F.lit(0)).alias("rare"), everything.alias("all"), F.explode(F.concat(tagged("1", F.get("sets", F.lit(0))), tagged("2", everything), tagged("3", F.col("joined_set")))).alias("token")))
+    b = durable(b.select("family", *[F.col(o).alias(n) for n, o in right.items() if n != "w_family"], "words", F.explode(F.concat(tagged("1", F.col("words")), F.array(F.concat(F.lit("2"), F.get("words", F.lit(0))), F.concat(F.lit("3"), _joined(F.col("title")))))).alias("token")))
+    met = F.get(F.array_intersect("rare", "words"), F.lit(0))  # the first word by which pass 1 has the pair
+    tag = F.substring("token", 1, 1)
+    once = F.when(tag == "1", F.substr("token", F.lit(2)) == met).when(met.isNotNull(), False).when(tag == "2", True).otherwise(~F.array_contains("all", F.get("words", F.lit(0))))
     side = max(1, math.isqrt(block_pairs))
     parts = lambda n: F.ceil(F.col(n) / side).cast("int")
     size = a.groupBy("family", "token").agg(F.count("*").alias("na")).join(b.groupBy("family", "token").agg(F.count("*").alias("nb")), ["family", "token"]).where(F.col("na") * F.col("nb") > block_pairs)
     size = durable(size.select("family", "token", parts("na").alias("pa"), parts("nb").alias("pb")))  # blocks that are too large for one task: seldom any
-    out = ["family", "r_entity", "r_title", "r_volume", "work_id", "w_entity", "w_title", "w_volume"]
+    out = ["r_entity", "r_title", "r_volume", "work_id", "w_title", "w_volume", "author"]
 
     def cells(df: DataFrame, own: str, other: str, form: list[str]) -> DataFrame:
         """Each row in one part of its side of the block, and in a row for each part of the other side."""
@@ -254,30 +281,41 @@ def candidates(records: DataFrame, works: DataFrame, block_pairs: int = 50_000)
     if hot:
         a = cells(a, "pa", "pb", ["r_entity", "r_title", "r_volume"])
         b = cells(b, "pb", "pa", ["work_id", "w_entity", "w_title", "w_volume"])
-    pairs = a.join(b, ["family", "token", *(["pa", "pb"] if hot else [])]).where(once).select(*out)
-    nameless = records.where("family IS NULL AND title <> ''").select("r_entity", F.col("title").alias("r_title"), F.col("volume").alias("r_volume"))
-    single = works.groupBy("title", "volume").agg(F.min("work_id").alias("work_id"), F.max("work_id").alias("other")).where("work_id = other").select("work_id", F.lit(None).cast("string").alias("w_entity"), F.col("title").alias("w_title"), F.col("volume").alias("w_volume"))
-    alone = nameless.join(single, (F.col("r_title") == F.col("w_title")) & (F.col("r_volume") == F.col("w_volume"))).withColumn("family", F.lit(None).cast("string")).select(*out)
-    return pairs.unionByName(alone)
-
-
-def link(translations: DataFrame, editions: DataFrame, authors: DataFrame, *, least: float = 0.5) -> DataFrame:
+    r, w = F.col("r_first"), F.col("w_first")
+    either, initial = (F.length(r) <= 1) | (F.length(w) <= 1), lambda x: F.substring(x, 1, 1)
+    fits = F.when(either, (r == "") | (w == "") | F.arrays_overlap(F.transform(names.forms_of(r), initial), F.transform(names.forms_of(w), initial))).otherwise(F.arrays_overlap(names.forms_of(r), names.forms_of(w)) | names.near_column(r, w))
+    author = F.when(F.col("r_entity") == F.col("w_entity"), 3).when(fits, 2).otherwise(1).alias("author")
+    pairs = a.join(b, ["family", "token", *(["pa", "pb"] if hot else [])]).where(once).select(*[author if x == "author" else x for x in out])
+
+    by = ["title", "volume"]
+    only = works.groupBy(*by).agg(F.min("work_id").alias("work_id"), F.max("work_id").alias("other")).where("work_id = other").select(*by, "work_id")
+    nameless = records.where("family IS NULL AND title <> ''").select(*by, "r_entity").join(only, by)
+    anonymous = works.where("family IS NULL").groupBy(*by).agg(F.min("work_id").alias("work_id"), F.max("work_id").alias("other")).where("work_id = other").select(*by, "work_id")
+    named = records.where("family IS NOT NULL AND title <> ''").select(*by, "r_entity").join(anonymous, by)
+    r_title, w_title = [[F.col("title").alias(f"{s}_title"), F.col("volume").alias(f"{s}_volume")] for s in "rw"]
+    return pairs.unionByName(nameless.unionByName(named).select("r_entity", *r_title, "work_id", *w_title, F.lit(-1).alias("author")))
+
+
+def link(translations: DataFrame, editions: DataFrame, authors: DataFrame, *, entities: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """(nkc_id, work_id, confidence, pattern columns): the work that each record translates, if any is listed.
 
-    A record gets the work of highest posterior, of at least ``least``, among those that the definition
-    allows: no other volume, and no known Czech year before the work's first (which is known only if the year
-    of every edition is). Ties go
+    A record gets the work of highest posterior, of at least ``least``. What the definition of a translation rules out,
+    another volume and a Czech year before the work's first (which is known only if the year
+    of every edition is), is a known non-match and teaches the model as such; all else the posterior decides. Ties go
     to the work whose first known year is least after the Czech one, then to the older work (it has had longer to
     be translated), the title that more editions bear, the smaller work_id. A record without an original title
     takes that of a record of the same author and Czech title, if all such agree. Several rows of one nkc_id
     are one record's versions; the best is kept. Records without title and blank work_ids have no row; empty
-    tables give an empty result.
+    tables give an empty result. ``entities``: (name, entity, family, first) of all names of both sides, as ``names.resolve``
+    gives them; computed if not given.
     """
     spark = translations.sparkSession
     # authors: one entity for all spellings of both sources
     owners = authors.where(F.trim("name") != "").select("author_id", "name").distinct()
-    others = translations.select(F.explode(F.split("secondary_authors", r"\|")).alias("name"))  # spellings that bridge others
-    entities = durable(names.resolve(translations.select(F.col("author").alias("name")).unionAll(others).unionAll(owners.select("name"))))
+    if entities is None:
+        others = translations.select(F.explode(F.split("secondary_authors", r"\|")).alias("name"))  # spellings that bridge others
+        entities = names.resolve(translations.select(F.col("author").alias("name")).unionAll(others).unionAll(owners.select("name")))
+    entities = durable(entities.select("name", "entity", "family", "first"))
     model = lookalike.ngram_model(translations, ["original_title", "czech_title"])
     subtitles = _subtitles(translations)
     records = _prepare_records(translations, model, subtitles)
@@ -292,38 +330,43 @@ def link(translations: DataFrame, editions: DataFrame, authors: DataFrame, *, le
     now = durable(now.where(F.trim("work_id") != ""))
     titles, works = _prepare_works(now, subtitles)
     titles = durable(titles)
-    by = now.select("work_id", "author_id").distinct().join(owners, "author_id").join(entities, "name").select("work_id", F.col("entity").alias("w_entity"), "family").distinct()
+    by = now.select("work_id", "author_id").distinct().join(owners, "author_id").join(entities, "name").select("work_id", F.col("entity").alias("w_entity"), "family", "first").distinct()
     named = durable(titles.join(by, "work_id", "left"))
-    forms = records.select("r_entity", "family", "title", "volume").distinct()
+    forms = records.select("r_entity", "family", "first", "title", "volume").distinct()
     pairs = candidates(forms, named)
 
     @F.pandas_udf("int")
-    def compare(a: pd.Series, b: pd.Series, va: pd.Series, vb: pd.Series) -> pd.Series:
-        return pd.Series([title_level(*x) for x in zip(a, b, va, vb, strict=True)], dtype="int32")
-
-    first = lambda e: F.element_at(F.split(e, r"\|"), 3)
-    r, w = F.col("r_entity"), F.col("w_entity")
-    fits = (F.substring(first(r), 1, 1) == F.substring(first(w), 1, 1)) & ((F.length(first(r)) <= 1) | (F.length(first(w)) <= 1) | (first(r) == first(w)))
-    author = F.when(r.isNull() | w.isNull(), -1).when(r == w, 2).when(fits, 1).otherwise(0)
-    scored = pairs.withColumns({"author": author, "title": compare("r_title", "w_title", "r_volume", "w_volume")}).where("title > 0")
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([words_level(*x) for x in zip(a, b, strict=True)], dtype="int32")
+
+    unequal = pairs.where("r_title <> w_title").withColumn("title", compare("r_title", "w_title"))  # Python sees only these
+    scored = pairs.where("r_title = w_title").withColumn("title", F.lit(4)).unionByName(unequal)
+    scored = scored.withColumn("volume", F.when(F.col("r_volume") == F.col("w_volume"), 2).when((F.col("r_volume") > 0) & (F.col("w_volume") > 0), 0).otherwise(1))
     scored = scored.join(titles.select("work_id", F.col("title").alias("w_title"), F.col("volume").alias("w_volume"), "n"), ["work_id", "w_title", "w_volume"])
-    best = F.max(F.struct("title", "author", "n")).alias("b")
+    best = F.max(F.struct("volume", "title", "author", "n")).alias("b")
     scored = scored.groupBy("r_entity", "r_title", "r_volume", "work_id").agg(best).select("r_entity", "r_title", "r_volume", "work_id", "b.*")
 
     per_record = records.select("nkc_id", "r_entity", F.col("title").alias("r_title"), F.col("volume").alias("r_volume"), "year", "lang")
     same = [per_record[c].eqNullSafe(scored[c]) for c in ("r_entity", "r_title", "r_volume")]
-    full = per_record.join(scored, same[0] & same[1] & same[2]).select(per_record["nkc_id"], "year", "lang", "work_id", "title", "author", "n").join(works, "work_id")
+    full = per_record.join(scored, same[0] & same[1] & same[2]).select(per_record["nkc_id"], "year", "lang", "work_id", "title", "volume", "author", "n").join(works, "work_id")
     year = F.when(F.col("year") >= F.col("first_year"), 1).when((F.col("year") < F.col("first_year")) & ~F.col("open"), 0).otherwise(-1)
     spoken = F.when(F.col("lang").isNull() | (F.size("langs") == 0), -1).when(F.array_contains("langs", F.col("lang")), 1).otherwise(0)
     early = F.greatest(F.col("first_year") - F.col("year"), F.lit(0))
-    full = durable(full.select("nkc_id", "work_id", "n", "author", "title", year.alias("year"), spoken.alias("language"), F.coalesce(early, F.lit(0)).alias("early"), "first_year"))
+    full = durable(full.select("nkc_id", "work_id", "n", "author", "title", "volume", year.alias("year"), spoken.alias("language"), F.coalesce(early, F.lit(0)).alias("early"), "first_year"))
 
     rows = full.groupBy(*ATTRIBUTES).agg(F.count("*").alias("c")).collect()  # at most one row for each pattern of levels
-    weights = expectation_maximisation([(tuple(x[a] for a in ATTRIBUTES), x["c"]) for x in rows], list(ATTRIBUTES.values()))
-    scores = [(*(x[a] for a in ATTRIBUTES), weights.posterior(tuple(x[a] for a in ATTRIBUTES))) for x in rows] or [(*(-9 for _ in ATTRIBUTES), 0.0)]
+    patterns = [(tuple(x[a] for a in ATTRIBUTES), x["c"], x["volume"] != 0 and x["year"] != 0) for x in rows]
+    # pairs of one author, or one family, that no block brought together: their titles differ
+    pairs_of = lambda by: (records.groupBy(by).agg(F.countDistinct("nkc_id").alias("a")).join(named.withColumnRenamed("w_entity", "r_entity").groupBy(by).agg(F.countDistinct("work_id").alias("b")), by).agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0)
+    same = {3: pairs_of("r_entity")}
+    same[1] = pairs_of("family") - same[3]
+    for level, met in ((3, (3,)), (1, (1, 2))):
+        if (rest := same[level] - sum(n for p, n, _ in patterns if p[0] in met)) > 0:
+            patterns.append(((level, 0, -1, -1, -1), rest, False))
+    weights = expectation_maximisation(patterns, list(ATTRIBUTES.values()))
+    scores = [(*p, weights.posterior(p) if possible else 0.0) for p, _, possible in patterns] or [(*(-9 for _ in ATTRIBUTES), 0.0)]
     table = spark.createDataFrame(scores, ", ".join(f"{a} int" for a in ATTRIBUTES) + ", confidence double")
-    judged = full.join(F.broadcast(table), list(ATTRIBUTES))  # a row for each pattern
-    allowed = judged.where((F.col("title") > 1) & (F.col("year") != 0) & (F.col("confidence") >= least))
+    judged = full.join(F.broadcast(table), list(ATTRIBUTES)).where(F.col("confidence") >= least)  # a row for each pattern
     order = F.struct((-F.col("confidence")).alias("c"), "early", F.coalesce("first_year", F.lit(9999)).alias("first"), (-F.col("n")).alias("n"), "work_id")
-    best = allowed.groupBy("nkc_id").agg(F.min_by(F.struct("work_id", "confidence", *ATTRIBUTES), order).alias("x"))
+    best = judged.groupBy("nkc_id").agg(F.min_by(F.struct("work_id", "confidence", *ATTRIBUTES), order).alias("x"))
     return best.select("nkc_id", "x.*")

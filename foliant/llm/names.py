@@ -123,15 +123,16 @@ class Parser:
 
     def __init__(self, model: lookalike.Model, common: set[str] = frozenset(), heads: set[str] = frozenset()):
         self.model = model
-        self.common = set(common)
+        self.common = {skeleton(x) for x in common}
         self.formal = {skeleton(a): (skeleton(b),) for a, b in NICKNAMES.items()} | {a: tuple(map(skeleton, b)) for a, b in SHARED_NICKNAMES.items()}
-        self.given = self.common | {*self.formal, *(x for v in self.formal.values() for x in v)}
-        self.longest = max(map(len, self.given))
-        self.spelling: dict[str, list[str]] = {}
-        for name in self.given:
-            if len(name) >= 4:
-                for key in deletions(name):
-                    self.spelling.setdefault(key, []).append(name)
+        written = {*common, *NICKNAMES, *NICKNAMES.values(), *SHARED_NICKNAMES, *(x for v in SHARED_NICKNAMES.values() for x in v)}
+        self.given = {skeleton(x) for x in written}
+        self.longest = max(map(len, written))
+        self.spelling: dict[str, list[tuple[str, str]]] = {}
+        for form, name in sorted({(f, skeleton(x)) for x in written for f in (x, skeleton(x))}):  # a slip may fall into a transliterated letter
+            if len(form) >= 4:
+                for key in deletions(form):
+                    self.spelling.setdefault(key, []).append((form, name))
         self.heads = ORGANISATIONS | set(heads)
         self.sorted_heads = sorted(self.heads)
 
@@ -142,7 +143,7 @@ class Parser:
                 return form
         for form in dict.fromkeys((skeleton(token), token)):
             if 4 <= len(form) <= self.longest + 1:
-                found = {n for key in deletions(form) for n in self.spelling.get(key, ()) if near(form, n)}
+                found = {n for key in deletions(form) for f, n in self.spelling.get(key, ()) if near(form, f)}
                 for group in (found & self.common, found):  # a slip of a common name before one of a rare name
                     if len(group) == 1:
                         return min(group)
@@ -234,7 +235,7 @@ def common_given(names: DataFrame, name: str, parser: Parser) -> set[str]:
 
     def first(text: str) -> str | None:
         got = parser.split(text)
-        return skeleton(got[1][0]) if isinstance(got, tuple) and got[2] and len(got[1][0]) > 1 else None
+        return got[1][0] if isinstance(got, tuple) and got[2] and len(got[1][0]) > 1 else None
 
     return _common(names, name, first)
 
@@ -261,7 +262,7 @@ def _skeleton(family: Column) -> Column:
     return family
 
 
-def _near(a: Column, b: Column) -> Column:
+def near_column(a: Column, b: Column) -> Column:
     """For words that share a key: one letter put in, left out or changed, or two swapped, or the same skeleton."""
     letters = lambda c: F.array_sort(F.split(c, ""))
     apart = F.levenshtein(a, b, 2)  # -1 beyond two; the bound keeps long names cheap
@@ -269,22 +270,29 @@ def _near(a: Column, b: Column) -> Column:
     return apart.isin(0, 1) | swapped | (_skeleton(a) == _skeleton(b))
 
 
-def _spellings(nodes: DataFrame) -> DataFrame:
-    """(kind, text, f, near): each family name, and each other word of an organisation (kind ``word``), its mentions, and the spellings one slip away."""
+def close_spellings(texts: DataFrame) -> DataFrame:
+    """(kind, text, near): to each (kind, text), distinct, the other texts of its kind that are one slip away; only those that have some.
+
+    Texts of less than three letters have none. No text is compared with all of a group: what can share a key is bounded by the alphabet.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.unique(np.append(slip_keys(t), slip_keys("~" + skeleton(t))[-1])) if len(t) > 2 else np.empty(0, np.int64) for t in batch.column(1).to_pylist()]
-            place = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), batch.column(1).take(pa.array(place)), pa.array(np.concatenate([np.empty(0, np.int64), *own]))], names=["kind", "text", "key"])
+            place = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(np.concatenate([np.empty(0, np.int64), *own]))], names=["kind", "text", "key"])
+
+    shared = texts.select("kind", "text").mapInArrow(keys, "kind string, text string, key long").groupBy("kind", "key").agg(F.collect_set("text").alias("texts"))
+    pairs = shared.where("size(texts) > 1").select("kind", "texts", F.explode("texts").alias("text")).select("kind", "text", F.explode("texts").alias("to")).where("text <> `to`")
+    return pairs.where(near_column(F.col("text"), F.col("to"))).groupBy("kind", "text").agg(F.array_sort(F.collect_set("to")).alias("near"))
 
+
+def _spellings(nodes: DataFrame) -> DataFrame:
+    """(kind, text, f, near): each family name, and each other word of an organisation (kind ``word``), its mentions, and the spellings one slip away."""
     families = nodes.select("kind", F.col("family").alias("text"), "n")
     words = nodes.where("kind = 'organisation'").select(F.lit("word").alias("kind"), F.explode(F.split("first", " ")).alias("text"), "n")
     counted = durable(families.unionAll(words).groupBy("kind", "text").agg(F.sum("n").alias("f")))
-    shared = counted.select("kind", "text").mapInArrow(keys, "kind string, text string, key long").groupBy("kind", "key").agg(F.collect_set("text").alias("texts"))  # bounded by the alphabet
-    pairs = shared.where("size(texts) > 1").select("kind", "texts", F.explode("texts").alias("text")).select("kind", "text", F.explode("texts").alias("to")).where("text <> `to`")
-    close = pairs.where(_near(F.col("text"), F.col("to"))).groupBy("kind", "text").agg(F.array_sort(F.collect_set("to")).alias("near"))
-    return counted.join(close, ["kind", "text"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))
+    return counted.join(close_spellings(counted), ["kind", "text"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))
 
 
 def _start(parsed: DataFrame) -> DataFrame:
@@ -308,7 +316,7 @@ def _formals(token: Column) -> Column:
     return F.when(F.contains(token, F.lit("=")), F.split(F.substring_index(token, "=", -1), ",")).otherwise(F.array().cast("array<string>"))
 
 
-def _forms(token: Column) -> Column:
+def forms_of(token: Column) -> Column:
     return F.concat(F.array(_name(token)), _formals(token))
 
 
@@ -338,12 +346,12 @@ def _offers() -> Column:
     given = lambda cond, rows: F.when(cond, rows).otherwise(none)
     each = lambda keys, what, level, path, v: F.transform(keys, lambda x: fact(_key(what, level, path, x), v))
     full = person & F.expr(FULL.format("first"))
-    initials = F.array_distinct(F.transform(_forms(c("first")), initial))
+    initials = F.array_distinct(F.transform(forms_of(c("first")), initial))
     beside = F.when(c("second") == "", F.lit("=")).otherwise(initial(c("second")))
     rows = [given(full, F.transform(initials, lambda i: fact(_key("A", block, i, ""), c("first")))), given(full, F.transform(initials, lambda i: fact(_key("A", block, i, beside), c("first"))))]
     for level, path in (("first", block), ("second", _levels()[0][1])):
         certain = person & F.expr(FULL.format(level)) & (F.size(_formals(c(level))) <= 1)
-        rows.append(given(certain, each(_forms(c(level)), "N", level, path, c(level))))
+        rows.append(given(certain, each(forms_of(c(level)), "N", level, path, c(level))))
     for level, path, fits in _levels():
         long = F.expr(FULL.format(level))
         keys = F.array(F.lit(""), initial(c(level)))
@@ -351,8 +359,8 @@ def _offers() -> Column:
         rows.append(given(person & fits & long, each(keys, "L", level, path, c(level))))
     # under the own spelling, the family that the merged profile has
     family = lambda key: fact(key, c("family"), c("f"))
-    rows.append(given(full, F.transform(F.concat(_forms(c("first")), initials), lambda x: family(_key("C", c("kind"), c("own_family"), x)))))
-    rows.append(given(full & F.expr(FULL.format("second")) & (F.length("own_family") <= LEAST_FAMILY), F.transform(_forms(c("first")), lambda x: family(_key("S", c("kind"), c("own_family"), x, _name(c("second")))))))
+    rows.append(given(full, F.transform(F.concat(forms_of(c("first")), initials), lambda x: family(_key("C", c("kind"), c("own_family"), x)))))
+    rows.append(given(full & F.expr(FULL.format("second")) & (F.length("own_family") <= LEAST_FAMILY), F.transform(forms_of(c("first")), lambda x: family(_key("S", c("kind"), c("own_family"), x, _name(c("second")))))))
     rows.append(given(organisation, F.array(family(_key("C", c("kind"), c("own_family"), "")))))
     # each word of an organisation, and what it may be cut to
     words = F.split("first", " ")
@@ -390,7 +398,7 @@ def _asks() -> Column:
     others = F.array_except(F.array_union("near", F.array("family")), F.array("own_family"))
     brief = lambda b: (F.length("own_family") < LEAST_FAMILY) | (F.length(b) < LEAST_FAMILY)
     long = F.filter(others, lambda b: ~brief(b) | (b == c("family")))
-    meets = F.when(organisation, F.array(F.lit(""))).otherwise(_forms(c("first")))
+    meets = F.when(organisation, F.array(F.lit(""))).otherwise(forms_of(c("first")))
     full = person & F.expr(FULL.format("first"))
     rows.append(given(full | organisation, F.flatten(F.transform(long, lambda b: F.transform(meets, lambda x: ask("C", _key("C", c("kind"), b, x)))))))
     rows.append(given(full & F.expr(FULL.format("second")), F.flatten(F.transform(F.filter(others, brief), lambda b: F.transform(meets, lambda x: ask("C", _key("S", c("kind"), b, x, _name(c("second")))))))))
@@ -447,6 +455,8 @@ def _round(nodes: DataFrame, offers: Column, asks: Column) -> DataFrame:
 def resolve(mentions: DataFrame, *, name: str = "name") -> DataFrame:
     """(name, entity, kind, family, first) of each distinct non-blank name; equal entities are one person or organisation.
 
+    ``first`` is written as in ``Parsed``.
+
     Rounds go on until one merges nothing. They end by themselves: a change makes an initial full, fills a gap, or
     goes to a more frequent spelling, and none of these is ever undone. Where a form fits
     several people of a family ("J. Smith" of Jan and Josef) it stays apart from all of them. Null and blank
@@ -469,7 +479,7 @@ def resolve(mentions: DataFrame, *, name: str = "name") -> DataFrame:
     offers, asks = _offers(), _asks()  # long expressions: built once for all rounds
     nodes = successive(_start(parsed), lambda df: _round(df, offers, asks), lambda df: df.where("changed").limit(1).count() == 0)
     bare = [F.substring_index(c, "=", 1).alias(c) if c in ("first", "second") else F.col(c) for c in PROFILE]
-    own = nodes.select(*[F.col(o).alias(c) for o, c in zip(_OWN, PROFILE, strict=True)], F.concat_ws("|", *bare).alias("entity"), F.col("family").alias("_family"), F.substring_index("first", "=", 1).alias("_first"))
+    own = nodes.select(*[F.col(o).alias(c) for o, c in zip(_OWN, PROFILE, strict=True)], F.concat_ws("|", *bare).alias("entity"), F.col("family").alias("_family"), F.col("first").alias("_first"))
     return parsed.select("name", *PROFILE).join(own, PROFILE).select("name", "entity", "kind", F.col("_family").alias("family"), F.col("_first").alias("first"))
 
 
