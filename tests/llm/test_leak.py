@@ -71,10 +71,26 @@ def test_words():
     assert k.words(None) == k.words("") == []
 
 
-def test_stock_prompts_are_no_passage():
-    items = [(i, f"Answer this. {' '.join(passage(20, i))}") for i in range(3)] + [(9, "Only once. " + " ".join(passage(20, 9)))]
-    got = k.passages(items)
-    assert got[0] == passage(20, 0) and got[9][:2] == ["only", "once"]
+def test_stock_prompts_are_no_passage(spark):
+    items = [(i, f"Answer this. {' '.join(passage(20, i))}") for i in range(3)] + [(9, "Only once. " + " ".join(passage(20, 9)))] + [(20 + i, "The same. " + " ".join(passage(20, 20))) for i in range(3)]
+    got = {r.item_id: k.words(r.text) for r in k.passages(spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[0] == passage(20, 0) and got[9][:2] == ["only", "once"] and got[20][:2] == ["the", "same"]  # copies of one item are no stock
+
+
+def test_prompts_are_counted_over_all_blocks(spark):
+    prompt = "Please read the following passage with great care and answer every question about it that follows below."
+    items = spark.createDataFrame([(i, f"{prompt} {' '.join(passage(40, i))}") for i in range(4)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{prompt} {' '.join(filler(30, i))} {' '.join(passage(40, i)[:12])}") for i in range(4)], "doc_id long, text string")
+    for n in (20_000, 2, 1):
+        assert k.find_leaks(docs, items, block_items=n).count() == 0
+
+
+def test_short_items(spark):
+    """From five words on an item is found where it stands as a whole; a shorter one where it is the document."""
+    items = {n: passage(n, 100 + n) for n in (1, 3, 4, 5, 8, 10, 12, 13, 14)}
+    docs = [(n, " ".join(filler(20, n) + w + filler(20, n + 50))) for n, w in items.items()] + [(100 + n, " ".join(w)) for n, w in items.items()] + [(200 + n, " ".join(filler(9, n) + w[:-1] + filler(9, n))) for n, w in items.items() if n < 14]
+    got = k.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(n, n) for n in items if n > 4} | {(100 + n, n) for n in items}
 
 
 def brute(doc, item):
@@ -112,11 +128,34 @@ def test_against_brute_force():
         assert found == want, (n, found, want)
 
 
-def test_prefix_loses_nothing():
-    """With any frequencies the prefix join gives what all shingles give."""
-    r = random.Random(8)
-    plain, other = k.ItemIndex(ITEMS, 1 / 3), k.ItemIndex(ITEMS, 1 / 3)
-    plain.order({})
-    other.order({s: r.randrange(1000) for s in range(len(other.postings))})
-    for d in DOCS.values():
-        assert sorted(plain.leaks(" ".join(d))) == sorted(other.leaks(" ".join(d)))
+@pytest.mark.parametrize("length", [10, 20, 60, 120, 300, 500])
+def test_filters_lose_nothing(length):
+    """The prefix, the length and the position bound give what the verification of every pair gives, however many words are altered."""
+    r = random.Random(length)
+    items = {i: [f"{w}{r.randrange(30)}" for w in passage(length, 1000 * length + i)] for i in range(4)}
+    index = k.ItemIndex(items, 1 / 3)
+    index.order({s: r.randrange(1000) for s in range(len(index.postings))})
+    hits = 0
+    for n in range(120):
+        item = items[r.randrange(4)]
+        pieces = []
+        for _ in range(r.choice([1, 1, 2, 3])):
+            a = r.choice([0, r.randrange(length)])
+            piece = item[a : a + max(6, int(length * r.uniform(0.15, 1.1)))]
+            every = r.choice([3, 4, 5, 6, 7, 8, 9, 12, 1000])
+            piece = [w if (k_ + 1) % every else r.choice(["changed", "changed extra", ""]) for k_, w in enumerate(piece)]
+            pieces += piece + filler(r.randrange(0, 30), n)
+        text = " ".join(pieces)
+        got = sorted(index.leaks(text))
+        assert got == sorted(index.leaks(text, filtered=False)), (length, n)
+        hits += len(got)
+    assert hits > 1
+
+
+def test_longest_gap_and_fewest_shingles():
+    """The bounds hold with equality for the sparsest run that verification takes."""
+    item = passage(9, 77)
+    doc = [*item[:5], "changed", *item[6:9]]
+    ids = {w: n + 1 for n, w in enumerate(sorted(set(item)))}
+    runs = k._align([ids.get(w, 0) for w in doc], [ids[w] for w in item], [(0, 0)])
+    assert runs == [(8, 1, 0, 0, 9)] and k.least_shingles(27, 1 / 3) == 1 and k.MOST_GAP == 17
