@@ -70,7 +70,7 @@ def bigrams(text: str) -> Counter:
 
 
 class Model:
-    """Add-one bigram log-probabilities of each script."""
+    """Add-one bigram log-probabilities of each script, and of each script itself (its share of words)."""
 
     def __init__(self, counts: dict[tuple[int, str], int]):
         self.first: Counter = Counter()
@@ -80,6 +80,8 @@ class Model:
             self.first[k, ab[0]] += n
             size.setdefault(k, set()).add(ab[1])
         self.size = {k: len(v) + 1 for k, v in size.items()}
+        total = sum(self.first[k, "^"] for k in range(len(SCRIPTS)))
+        self.prior = [math.log((self.first[k, "^"] + 1) / (total + len(SCRIPTS))) for k in range(len(SCRIPTS))]
 
     def score(self, k: int, a: str, b: str) -> float:
         return math.log((self.pair.get((k, a + b), 0.0) + 1) / (self.first.get((k, a), 0) + self.size.get(k, 30)))
@@ -96,9 +98,10 @@ class Model:
             for c in _ALTERNATIVES.get(written, written):
                 k, low = script(c), c.lower()[:1]
                 cost = CHANGE * (c != written)
+                start = self.score(k, "^", low) + (self.prior[k] if k >= 0 else 0.0)
                 best = None
                 for (last, before), (total, text) in paths.items():
-                    move = self.score(k, before, low) if last in (k, -2) else SWITCH + self.score(k, "^", low)
+                    move = start if last == -2 else self.score(k, before, low) if last == k else SWITCH + start
                     if best is None or total + move + cost > best[0]:
                         best = (total + move + cost, text + c)
                 if (k, low) not in step or best[0] > step[k, low][0]:
