@@ -116,13 +116,29 @@ def words_level(a: str, b: str) -> int:
     return 1 if 2 * same >= max(len(x), len(y)) else 0
 
 
-def volume_level(a: int, b: int) -> int:
-    """2 the same volume, or none named; 1 only one names a volume; 0 another volume."""
-    return 2 if a == b else 0 if a and b else 1
+#: The compared attributes and their highest levels.
+#: Author: 4 the same entity, 3 one family and a slip or nickname of the first name, 2 one family and the first name or an initial that fits, 1 one family; -1 unknown.
+#: Title: 5 equal, 4 but for slips, 3 one holds the other, each with the same volume or none; 2 that far, but only one names a volume; 1 half of the words; 0 less, or another volume.
+ATTRIBUTES = {"author": 4, "title": 5, "year": 1, "language": 1}
 
 
-#: The compared attributes and their highest levels. Author: 3 the same entity, 2 one family and a first name that fits (an initial, a nickname, a slip), 1 one family; -1 unknown.
-ATTRIBUTES = {"author": 3, "title": 4, "volume": 2, "year": 1, "language": 1}
+def title_level(words: Column, a: Column, b: Column) -> Column:
+    """The level of the title from that of its words and both volumes (0: none named)."""
+    return F.when((words < 2) & ((a == b) | (a == 0) | (b == 0)), words).when(a == b, words + 1).when((a > 0) & (b > 0), 0).otherwise(2)
+
+
+def monotone(m: dict[int, float], u: dict[int, float]) -> dict[int, float]:
+    """Log-likelihood ratio of each level, made non-decreasing: more agreement never speaks against a match.
+
+    Neighbouring levels out of order are pooled and share the ratio of their sums.
+    """
+    pools: list[list] = []
+    for v in sorted(m):
+        pools.append([m[v], u[v], [v]])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] > pools[-1][0] * pools[-2][1]:
+            x = pools.pop()
+            pools[-1] = [pools[-1][0] + x[0], pools[-1][1] + x[1], pools[-1][2] + x[2]]
+    return {v: math.log(a / b) for a, b, levels in pools for v in levels}
 
 
 @dataclass
@@ -133,13 +149,13 @@ class Weights:
     u: list[dict[int, float]]
     share: float
 
+    def __post_init__(self) -> None:
+        self.ratio = [monotone(m, u) for m, u in zip(self.m, self.u, strict=True)]
+
     def posterior(self, pattern: tuple[int, ...]) -> float:
-        a, b = math.log(self.share), math.log1p(-self.share)
-        for level, m, u in zip(pattern, self.m, self.u, strict=True):
-            if level >= 0:
-                a += math.log(m.get(level, 1e-6))
-                b += math.log(u.get(level, 1e-6))
-        return 1 / (1 + math.exp(min(700.0, b - a)))
+        odds = math.log(self.share) - math.log1p(-self.share)
+        odds += sum(r.get(level, 0.0) for level, r in zip(pattern, self.ratio, strict=True) if level >= 0)
+        return 1 / (1 + math.exp(min(700.0, -odds)))
 
 
 def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int, bool]], levels: list[int], rounds: int = 10_000) -> Weights:
@@ -231,61 +247,75 @@ def _joined(title: Column) -> Column:
     return F.concat(F.lit("="), F.replace(title, F.lit(" "), F.lit("")))
 
 
-def _words_of(df: DataFrame, table: DataFrame) -> DataFrame:
-    """(title, words, sets, joined_set) of each title: its words from the rarest on, short ones last, each with its near spellings; likewise the title as one word."""
-    titles = df.select("title").distinct()
-    words = titles.select("title", F.explode(F.concat(F.array_distinct(F.split("title", " ")), F.array(_joined(F.col("title"))))).alias("text")).join(table, "text")
+def _titles(df: DataFrame, table: DataFrame) -> DataFrame:
+    """(id, family, title, words, rare, whole) of each title of a family: its words, the rarest in all its spellings (short words only if there are no others), the title as one word in all its spellings."""
+    titles = df.where("family IS NOT NULL").select("family", "title").distinct()
+    words = titles.select("title").distinct().select("title", F.explode(F.concat(F.array_distinct(F.split("title", " ")), F.array(_joined(F.col("title"))))).alias("text")).join(table, "text")
     one = F.struct(F.startswith("text", F.lit("=")).alias("whole"), (F.length("text") < 3).alias("short"), "df", "text", "near")
     rows = words.groupBy("title").agg(F.array_sort(F.collect_list(one)).alias("w"))  # the words of one title; the whole comes last
-    sets = F.transform("w", lambda x: F.concat(F.array(x["text"]), x["near"]))
-    n = F.size("w") - 1
-    return rows.select("title", F.slice("w.text", F.lit(1), n).alias("words"), F.slice(sets, F.lit(1), n).alias("sets"), F.element_at(sets, -1).alias("joined_set"))
+    spellings = lambda x: F.concat(F.array(x["text"]), x["near"])
+    rows = rows.select("title", F.slice("w.text", F.lit(1), F.size("w") - 1).alias("words"), spellings(F.get("w", F.lit(0))).alias("rare"), spellings(F.element_at("w", -1)).alias("whole"))
+    return durable(titles.join(rows, "title").select(F.monotonically_increasing_id().alias("id"), "family", "title", "words", "rare", "whole"))
 
 
-def candidates(records: DataFrame, works: DataFrame, block_pairs: int = 50_000) -> DataFrame:
-    """Pairs (record form, work title) that share a block, from several passes, none twice.
+def title_pairs(records: DataFrame, works: DataFrame, block_pairs: int = 50_000) -> DataFrame:
+    """(family, r_title, w_title): the titles of one family name that may agree, each pair once.
 
     Of two titles that agree but for slips or one of which holds the other, all words of the shorter are in the longer or
-    one slip away from a word of it. So, with the same family name, passes 1 and 2 join the rarest word of one title, in all its spellings,
+    one slip away from a word of it. So passes 1 and 2 join the rarest word of one title, in all its spellings,
     with all words of the other: every such pair meets. Pass 3 joins titles that as one word are a slip apart (spaces moved).
+    Blocks travel as hashes with the titles' numbers.
     A block of more than ``block_pairs`` pairs is cut on both sides into parts, and each pair of parts is a cell of about
     so many pairs at most; so tasks stay small and the pairs are the same whatever ``block_pairs``.
-    Pass 4 goes without the family name, where one side has no author: the same title, if it is that of one work only (of one only of the works without author).
     """
     table = _word_table(records, works)
-    a = records.where("family IS NOT NULL").join(_words_of(records, table), "title")
-    b = works.where("family IS NOT NULL").join(_words_of(works, table), "title")
-    tagged = lambda tag, xs: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
-    everything = F.array_distinct(F.flatten("sets"))
-    left = {"r_entity": "r_entity", "r_first": "first", "r_title": "title", "r_volume": "volume"}
-    right = {"work_id": "work_id", "w_entity": "w_entity", "w_family": "family", "w_first": "first", "w_title": "title", "w_volume": "volume"}
-    a = durable(a.select("family", *[F.col(o).alias(n) for n, o in left.items()], F.get("sets", F.lit(0)).alias("rare"), everything.alias("all"), F.explode(F.concat(tagged("1", F.get("sets", F.lit(0))), tagged("2", everything), tagged("3", F.col("joined_set")))).alias("token")))
-    b = durable(b.select("family", *[F.col(o).alias(n) for n, o in right.items() if n != "w_family"], "words", F.explode(F.concat(tagged("1", F.col("words")), F.array(F.concat(F.lit("2"), F.get("words", F.lit(0))), F.concat(F.lit("3"), _joined(F.col("title")))))).alias("token")))
-    met = F.get(F.array_intersect("rare", "words"), F.lit(0))  # the first word by which pass 1 has the pair
-    tag = F.substring("token", 1, 1)
-    once = F.when(tag == "1", F.substr("token", F.lit(2)) == met).when(met.isNotNull(), False).when(tag == "2", True).otherwise(~F.array_contains("all", F.get("words", F.lit(0))))
+    left, right = _titles(records, table), _titles(works, table)
+    keys = lambda tag, xs: F.transform(xs, lambda x: F.xxhash64(F.lit(tag), "family", x))
+    a = left.select(F.col("id").alias("a"), F.explode(F.concat(keys(1, "rare"), keys(2, "words"), keys(3, "whole"))).alias("key"))
+    b = right.select(F.col("id").alias("b"), F.explode(F.concat(keys(1, "words"), keys(2, "rare"), keys(3, F.slice("whole", 1, 1)))).alias("key"))
     side = max(1, math.isqrt(block_pairs))
     parts = lambda n: F.ceil(F.col(n) / side).cast("int")
-    size = a.groupBy("family", "token").agg(F.count("*").alias("na")).join(b.groupBy("family", "token").agg(F.count("*").alias("nb")), ["family", "token"]).where(F.col("na") * F.col("nb") > block_pairs)
-    size = durable(size.select("family", "token", parts("na").alias("pa"), parts("nb").alias("pb")))  # blocks that are too large for one task: seldom any
-    out = ["r_entity", "r_title", "r_volume", "work_id", "w_title", "w_volume", "author"]
+    size = a.groupBy("key").agg(F.count("*").alias("na")).join(b.groupBy("key").agg(F.count("*").alias("nb")), "key").where(F.col("na") * F.col("nb") > block_pairs)
+    size = durable(size.select("key", parts("na").alias("pa"), parts("nb").alias("pb")))  # blocks that are too large for one task: seldom any
 
-    def cells(df: DataFrame, own: str, other: str, form: list[str]) -> DataFrame:
+    def cells(df: DataFrame, form: str, own: str, other: str) -> DataFrame:
         """Each row in one part of its side of the block, and in a row for each part of the other side."""
-        cut = df.join(F.broadcast(size) if few else size, ["family", "token"], "left")
-        mine = F.pmod(F.xxhash64(*form), F.coalesce(own, F.lit(1))).cast("int").alias(own)
+        cut = df.join(F.broadcast(size) if few else size, "key", "left")
+        mine = F.pmod(F.xxhash64(form), F.coalesce(own, F.lit(1))).cast("int").alias(own)
         return cut.select(*df.columns, mine, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other))
 
     hot = size.limit(1001).count()
     few = hot <= 1000
     if hot:
-        a = cells(a, "pa", "pb", ["r_entity", "r_title", "r_volume"])
-        b = cells(b, "pb", "pa", ["work_id", "w_entity", "w_title", "w_volume"])
+        a, b = cells(a, "a", "pa", "pb"), cells(b, "b", "pb", "pa")
+    met = a.join(b, ["key", *(["pa", "pb"] if hot else [])]).select("a", "b").distinct()
+    met = met.join(left.select(F.col("id").alias("a"), F.col("family").alias("family"), F.col("title").alias("r_title")), "a")
+    met = met.join(right.select(F.col("id").alias("b"), F.col("family").alias("w_family"), F.col("title").alias("w_title")), "b")
+    return met.where("family = w_family").select("family", "r_title", "w_title")  # the hashes of two families may agree
+
+
+def candidates(records: DataFrame, works: DataFrame, block_pairs: int = 50_000) -> DataFrame:
+    """Pairs (record form, work title) with the levels of author and title, from several passes, none twice.
+
+    Passes 1 to 3: ``title_pairs`` within a family name. Each pair of titles is compared once, whoever bears them; Python sees only unequal ones.
+    Pass 4 goes without the family name, where one side has no author: the same title, if it is that of one work only (of one only of the works without author).
+    """
+
+    @F.pandas_udf("int")
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([words_level(*x) for x in zip(a, b, strict=True)], dtype="int32")
+
+    pairs = durable(title_pairs(records, works, block_pairs))
+    pairs = durable(pairs.where("r_title = w_title").withColumn("level", F.lit(4)).unionByName(pairs.where("r_title <> w_title").withColumn("level", compare("r_title", "w_title"))))
+    a = records.where("family IS NOT NULL").select("family", "r_entity", F.col("first").alias("r_first"), F.col("title").alias("r_title"), F.col("volume").alias("r_volume"))
+    b = works.where("family IS NOT NULL").select("family", "work_id", "w_entity", F.col("first").alias("w_first"), F.col("title").alias("w_title"), F.col("volume").alias("w_volume"))
     r, w = F.col("r_first"), F.col("w_first")
     either, initial = (F.length(r) <= 1) | (F.length(w) <= 1), lambda x: F.substring(x, 1, 1)
-    fits = F.when(either, (r == "") | (w == "") | F.arrays_overlap(F.transform(names.forms_of(r), initial), F.transform(names.forms_of(w), initial))).otherwise(F.arrays_overlap(names.forms_of(r), names.forms_of(w)) | names.near_column(r, w))
-    author = F.when(F.col("r_entity") == F.col("w_entity"), 3).when(fits, 2).otherwise(1).alias("author")
-    pairs = a.join(b, ["family", "token", *(["pa", "pb"] if hot else [])]).where(once).select(*[author if x == "author" else x for x in out])
+    fits = (r == w) | either & ((r == "") | (w == "") | F.arrays_overlap(F.transform(names.forms_of(r), initial), F.transform(names.forms_of(w), initial)))
+    slip = ~either & (F.arrays_overlap(names.forms_of(r), names.forms_of(w)) | (F.least(F.length(r), F.length(w)) > 4) & names.near_column(r, w))
+    author = F.when(F.col("r_entity") == F.col("w_entity"), 4).when(fits, 2).when(slip, 3).otherwise(1).alias("author")
+    out = ["r_entity", "r_title", "r_volume", "work_id", "w_title", "w_volume"]
+    pairs = a.join(pairs, ["family", "r_title"]).join(b, ["family", "w_title"]).select(*out, author, F.col("level").alias("title"))
 
     by = ["title", "volume"]
     only = works.groupBy(*by).agg(F.min("work_id").alias("work_id"), F.max("work_id").alias("other")).where("work_id = other").select(*by, "work_id")
@@ -293,7 +323,20 @@ def candidates(records: DataFrame, works: DataFrame, block_pairs: int = 50_000)
     anonymous = works.where("family IS NULL").groupBy(*by).agg(F.min("work_id").alias("work_id"), F.max("work_id").alias("other")).where("work_id = other").select(*by, "work_id")
     named = records.where("family IS NOT NULL AND title <> ''").select(*by, "r_entity").join(anonymous, by)
     r_title, w_title = [[F.col("title").alias(f"{s}_title"), F.col("volume").alias(f"{s}_volume")] for s in "rw"]
-    return pairs.unionByName(nameless.unionByName(named).select("r_entity", *r_title, "work_id", *w_title, F.lit(-1).alias("author")))
+    return pairs.unionByName(nameless.unionByName(named).select("r_entity", *r_title, "work_id", *w_title, F.lit(-1).alias("author"), F.lit(4).alias("title")))
+
+
+def _fit_by_chance(left: DataFrame, right: DataFrame) -> float:
+    """How often two first names drawn from both sides fit: equal, or an initial and a name (or initial) that begins with it."""
+    total = float(left.count()) * right.count()
+    if not total:
+        return 0.0
+    counts = lambda df, name: df.groupBy("first").agg(F.count("*").cast("double").alias(name))
+    equal = counts(left, "a").join(counts(right, "b"), "first").where("length(first) > 1").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0
+    kinds = lambda df: {(r["i"], r["short"]): r["n"] for r in df.groupBy(F.substring("first", 1, 1).alias("i"), (F.length("first") <= 1).alias("short")).agg(F.count("*").alias("n")).collect()}  # noqa: E731  # two rows for each letter
+    a, b = kinds(left), kinds(right)
+    initial = sum(n * m for (i, s), n in a.items() for (j, t), m in b.items() if i == j and (s or t))
+    return (equal + initial) / total
 
 
 def link(translations: DataFrame, editions: DataFrame, authors: DataFrame, *, entities: DataFrame | None = None, least: float = 0.5) -> DataFrame:
@@ -302,7 +345,7 @@ def link(translations: DataFrame, editions: DataFrame, authors: DataFrame, *, en
     A record gets the work of highest posterior, of at least ``least``. What the definition of a translation rules out,
     another volume and a Czech year before the work's first (which is known only if the year
     of every edition is), is a known non-match and teaches the model as such; all else the posterior decides. Ties go
-    to the work whose first known year is least after the Czech one, then to the older work (it has had longer to
+    to the higher level of the title and the author, the work whose first known year is least after the Czech one, then to the older work (it has had longer to
     be translated), the title that more editions bear, the smaller work_id. A record without an original title
     takes that of a record of the same author and Czech title, if all such agree. Several rows of one nkc_id
     are one record's versions; the best is kept. Records without title and blank work_ids have no row; empty
@@ -335,38 +378,34 @@ def link(translations: DataFrame, editions: DataFrame, authors: DataFrame, *, en
     forms = records.select("r_entity", "family", "first", "title", "volume").distinct()
     pairs = candidates(forms, named)
 
-    @F.pandas_udf("int")
-    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([words_level(*x) for x in zip(a, b, strict=True)], dtype="int32")
-
-    unequal = pairs.where("r_title <> w_title").withColumn("title", compare("r_title", "w_title"))  # Python sees only these
-    scored = pairs.where("r_title = w_title").withColumn("title", F.lit(4)).unionByName(unequal)
-    scored = scored.withColumn("volume", F.when(F.col("r_volume") == F.col("w_volume"), 2).when((F.col("r_volume") > 0) & (F.col("w_volume") > 0), 0).otherwise(1))
+    scored = pairs.withColumn("title", title_level(F.col("title"), F.col("r_volume"), F.col("w_volume"))).withColumn("other_volume", (F.col("r_volume") > 0) & (F.col("w_volume") > 0) & (F.col("r_volume") != F.col("w_volume")))
     scored = scored.join(titles.select("work_id", F.col("title").alias("w_title"), F.col("volume").alias("w_volume"), "n"), ["work_id", "w_title", "w_volume"])
-    best = F.max(F.struct("volume", "title", "author", "n")).alias("b")
+    best = F.max(F.struct("title", (~F.col("other_volume")).alias("possible"), "author", "n")).alias("b")
     scored = scored.groupBy("r_entity", "r_title", "r_volume", "work_id").agg(best).select("r_entity", "r_title", "r_volume", "work_id", "b.*")
 
     per_record = records.select("nkc_id", "r_entity", F.col("title").alias("r_title"), F.col("volume").alias("r_volume"), "year", "lang")
     same = [per_record[c].eqNullSafe(scored[c]) for c in ("r_entity", "r_title", "r_volume")]
-    full = per_record.join(scored, same[0] & same[1] & same[2]).select(per_record["nkc_id"], "year", "lang", "work_id", "title", "volume", "author", "n").join(works, "work_id")
+    full = per_record.join(scored, same[0] & same[1] & same[2]).select(per_record["nkc_id"], "year", "lang", "work_id", "title", "possible", "author", "n").join(works, "work_id")
     year = F.when(F.col("year") >= F.col("first_year"), 1).when((F.col("year") < F.col("first_year")) & ~F.col("open"), 0).otherwise(-1)
     spoken = F.when(F.col("lang").isNull() | (F.size("langs") == 0), -1).when(F.array_contains("langs", F.col("lang")), 1).otherwise(0)
     early = F.greatest(F.col("first_year") - F.col("year"), F.lit(0))
-    full = durable(full.select("nkc_id", "work_id", "n", "author", "title", "volume", year.alias("year"), spoken.alias("language"), F.coalesce(early, F.lit(0)).alias("early"), "first_year"))
+    full = durable(full.select("nkc_id", "work_id", "n", "author", "title", (F.col("possible") & (year != 0)).alias("possible"), year.alias("year"), spoken.alias("language"), F.coalesce(early, F.lit(0)).alias("early"), "first_year"))
 
-    rows = full.groupBy(*ATTRIBUTES).agg(F.count("*").alias("c")).collect()  # at most one row for each pattern of levels
-    patterns = [(tuple(x[a] for a in ATTRIBUTES), x["c"], x["volume"] != 0 and x["year"] != 0) for x in rows]
+    rows = full.groupBy(*ATTRIBUTES, "possible").agg(F.count("*").alias("c")).collect()  # at most one row for each pattern of levels
+    patterns = [(tuple(x[a] for a in ATTRIBUTES), x["c"], x["possible"]) for x in rows]
     # pairs of one author, or one family, that no block brought together: their titles differ
     pairs_of = lambda by: (records.groupBy(by).agg(F.countDistinct("nkc_id").alias("a")).join(named.withColumnRenamed("w_entity", "r_entity").groupBy(by).agg(F.countDistinct("work_id").alias("b")), by).agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0)
-    same = {3: pairs_of("r_entity")}
-    same[1] = pairs_of("family") - same[3]
-    for level, met in ((3, (3,)), (1, (1, 2))):
-        if (rest := same[level] - sum(n for p, n, _ in patterns if p[0] in met)) > 0:
-            patterns.append(((level, 0, -1, -1, -1), rest, False))
+    same = pairs_of("r_entity")
+    other = pairs_of("family") - same
+    # of two people of one family, so many have first names that fit by chance
+    chance = _fit_by_chance(records.where("family IS NOT NULL").select("first"), named.where("family IS NOT NULL").select("first"))
+    met = lambda *levels: sum(n for p, n, _ in patterns if p[0] in levels)
+    rest = {4: same - met(4), 2: chance * (other - met(1, 2, 3)), 1: (1 - chance) * (other - met(1, 2, 3))}
+    patterns += [((level, 0, -1, -1), n, False) for level, n in rest.items() if n > 0]
     weights = expectation_maximisation(patterns, list(ATTRIBUTES.values()))
-    scores = [(*p, weights.posterior(p) if possible else 0.0) for p, _, possible in patterns] or [(*(-9 for _ in ATTRIBUTES), 0.0)]
+    scores = [(*p, weights.posterior(p)) for p in {p for p, _, possible in patterns if possible}] or [(*(-9 for _ in ATTRIBUTES), 0.0)]
     table = spark.createDataFrame(scores, ", ".join(f"{a} int" for a in ATTRIBUTES) + ", confidence double")
-    judged = full.join(F.broadcast(table), list(ATTRIBUTES)).where(F.col("confidence") >= least)  # a row for each pattern
-    order = F.struct((-F.col("confidence")).alias("c"), "early", F.coalesce("first_year", F.lit(9999)).alias("first"), (-F.col("n")).alias("n"), "work_id")
+    judged = full.where("possible").join(F.broadcast(table), list(ATTRIBUTES)).where(F.col("confidence") >= least)  # a row for each pattern
+    order = F.struct((-F.col("confidence")).alias("c"), (-F.col("title")).alias("t"), (-F.col("author")).alias("a"), "early", F.coalesce("first_year", F.lit(9999)).alias("first"), (-F.col("n")).alias("n"), "work_id")
     best = judged.groupBy("nkc_id").agg(F.min_by(F.struct("work_id", "confidence", *ATTRIBUTES), order).alias("x"))
     return best.select("nkc_id", "x.*")

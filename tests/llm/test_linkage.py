@@ -20,7 +20,12 @@ def test_title_key(text, key):
 def test_levels():
     pairs = [("red mill", "red mill", 4), ("red mill", "red mlil", 3), ("red mill", "redmill", 3), ("red mill", "red mill tales", 2), ("red mill", "red tower", 1), ("red mill", "blue tower", 0)]
     assert [k.words_level(a, b) for a, b, _ in pairs] == [n for *_, n in pairs]
-    assert [k.volume_level(*x) for x in ((1, 1), (0, 0), (1, 0), (0, 2), (1, 2))] == [2, 2, 1, 1, 0]
+
+
+def test_title_levels(spark):
+    cases = [(4, 0, 0, 5), (3, 2, 2, 4), (2, 0, 0, 3), (4, 1, 0, 2), (2, 0, 3, 2), (4, 1, 2, 0), (1, 1, 2, 0), (1, 0, 2, 1), (0, 1, 1, 0)]
+    rows = spark.createDataFrame([c[:3] for c in cases], "w int, a int, b int")
+    assert [r[0] for r in rows.select(k.title_level(*[rows[c] for c in "wab"])).collect()] == [c[3] for c in cases]
 
 
 def test_years_languages_and_parallel_titles():
@@ -47,6 +52,13 @@ def test_impossible_pairs_teach_what_non_matches_look_like():
     assert taught.posterior((1, 0, 1)) < free.posterior((1, 0, 1)) and taught.posterior((1, 0, 1)) < 0.1 < 0.5 < taught.posterior((1, 1, 1))
 
 
+def test_more_agreement_never_speaks_against_a_match():
+    ratio = k.monotone({0: 0.1, 1: 0.2, 2: 0.3, 3: 0.4}, {0: 0.7, 1: 0.01, 2: 0.09, 3: 0.2})
+    values = [ratio[v] for v in range(4)]
+    assert values == sorted(values) and values[1] == values[2] == values[3] and values[0] < 0 < values[1]
+    assert k.monotone({0: 0.2, 1: 0.8}, {0: 0.9, 1: 0.1}) == pytest.approx({0: -1.504, 1: 2.079}, abs=1e-3)
+
+
 def test_no_convergence_is_told():
     with pytest.warns(UserWarning, match="convergence"):
         k.expectation_maximisation([((1,), 10, True), ((0,), 20, True)], [1], rounds=1)
