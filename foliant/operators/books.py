@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,13 +63,8 @@ def author_index(books: DataFrame, authors: DataFrame) -> DataFrame:
     return pairs.select("book_id", t.normalize(F.col("name")).alias("norm_author")).where("norm_author <> ''").distinct()
 
 
-def candidate_pool(books: DataFrame, *, least_ratings: int = 50, years: tuple[int, int] = (1950, 2017), excluded: tuple[str, ...] = ("cze", "slo")) -> DataFrame:
-    """One row per work: sums over its editions, and title, language and shelf shares of the most rated one.
-
-    A book delivered on several lines counts once (its last line). Ties of ratings go to the smaller book_id.
-    Works below ``least_ratings``, first published outside ``years`` or of an excluded language are left out.
-    All aggregates are partial, so a work with very many editions costs one row per map task.
-    """
+def _works(books: DataFrame, years: tuple[int, int]) -> DataFrame:
+    """Sums over each work's editions, and its most rated edition; a book delivered on several lines counts once (its last line)."""
     known = books.where("work_id <> ''")
     named = {b: codes.bucket_count(F.col("shelves"), b) for b in codes.SHELVES}
     title = F.coalesce(F.nullif("title_without_series", F.lit("")), "title", F.lit(""))
@@ -79,7 +74,27 @@ def candidate_pool(books: DataFrame, *, least_ratings: int = 50, years: tuple[in
     slim = slim.groupBy("book_id").agg(F.max(F.struct("line_no", *rest)).alias("b")).select("book_id", *[F.col(f"b.{c}").alias(c) for c in rest])
     best = F.min_by(F.struct("book_id", "title", "language", *[f"n_{b}" for b in named]), F.struct(-F.col("ratings"), "book_id")).alias("best")
     year = F.min(F.when(F.col("pub_year").between(*years), F.col("pub_year"))).alias("pub_year")
-    works = slim.groupBy("work_id").agg(F.sum("ratings").cast("bigint").alias("ratings_count"), F.sum("text_reviews").cast("bigint").alias("text_reviews"), F.count("*").alias("n_editions"), year, best)
-    works = works.where((F.col("ratings_count") >= least_ratings) & F.col("pub_year").isNotNull() & ~F.col("best.language").isin(*excluded))
-    shares = codes.bucket_shares({b: F.col(f"best.n_{b}") for b in named})
+    return slim.groupBy("work_id").agg(F.sum("ratings").cast("bigint").alias("ratings_count"), F.sum("text_reviews").cast("bigint").alias("text_reviews"), F.count("*").alias("n_editions"), year, best)
+
+
+def _dropped(least_ratings: int, excluded: tuple[str, ...]) -> Column:
+    """Why a work is no candidate, the first reason of: ratings, year, language; null if it is one."""
+    return F.when(F.col("ratings_count") < least_ratings, "ratings").when(F.col("pub_year").isNull(), "year").when(F.col("best.language").isin(*excluded), "language")
+
+
+def candidate_pool(books: DataFrame, *, least_ratings: int = 50, years: tuple[int, int] = (1950, 2017), excluded: tuple[str, ...] = ("cze", "slo")) -> DataFrame:
+    """One row per work: sums over its editions, and title, language and shelf shares of the most rated one.
+
+    A book delivered on several lines counts once (its last line). Ties of ratings go to the smaller book_id.
+    Works below ``least_ratings``, first published outside ``years`` or of an excluded language are left out.
+    All aggregates are partial, so a work with very many editions costs one row per map task.
+    """
+    works = _works(books, years).where(_dropped(least_ratings, excluded).isNull())
+    shares = codes.bucket_shares({b: F.col(f"best.n_{b}") for b in codes.SHELVES})
     return works.select("work_id", F.col("best.book_id").alias("rep_book_id"), F.col("best.title").alias("title"), F.col("best.language").alias("language"), "pub_year", "n_editions", "ratings_count", "text_reviews", *[c.alias(f"shelf_{b}") for b, c in shares.items()])
+
+
+def pool_counts(books: DataFrame, *, least_ratings: int = 50, years: tuple[int, int] = (1950, 2017), excluded: tuple[str, ...] = ("cze", "slo")) -> DataFrame:
+    """One row: all works, those dropped by each filter in its turn, those kept."""
+    why = _works(books, years).select(_dropped(least_ratings, excluded).alias("why"))
+    return why.agg(F.count("*").alias("works"), *[F.count_if(F.col("why") == x).alias(f"dropped_{x}") for x in ("ratings", "year", "language")], F.count_if(F.col("why").isNull()).alias("kept"))

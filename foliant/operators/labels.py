@@ -51,14 +51,14 @@ def pre_cutoff_stats(labels: DataFrame, reviews: DataFrame, editions: DataFrame)
     """Ratings, mean rating and reviews with text of each (work, cutoff), strictly before the cutoff year.
 
     Every labelled (work, cutoff) has a row: zeros and a null mean without reviews. A review delivered several
-    times counts once, and each one without id counts. Reviews are reduced to sums per (book, year) before they meet
-    works and cutoffs.
+    times counts once, in the earliest year it is validly dated, and each one without id counts. A text is reduced to whether it says
+    anything before any shuffle, and reviews to sums per (book, year) before they meet works and cutoffs.
     """
     alone = F.when(F.col("review_id").isNull(), F.monotonically_increasing_id())  # null ids are no repeats of each other
-    rows = reviews.select("review_id", "book_id", "rating", "review_text", "date_added", alone.alias("alone")).dropDuplicates(["review_id", "alone"])
     rated = F.col("rating").between(1, 5)
     text = F.trim(F.coalesce("review_text", F.lit(""))) != ""
-    rows = rows.select("book_id", written_year(F.col("date_added")).alias("year"), F.when(rated, F.col("rating")).alias("r"), text.cast("int").alias("t")).where("year IS NOT NULL")
+    rows = reviews.select("review_id", alone.alias("alone"), "book_id", written_year(F.col("date_added")).alias("year"), F.when(rated, F.col("rating")).alias("r"), text.cast("int").alias("t")).where("year IS NOT NULL")
+    rows = rows.groupBy("review_id", "alone").agg(F.min(F.struct("year", "book_id", "r", "t")).alias("x")).select("x.*")
     per_book = rows.groupBy("book_id", "year").agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum("t").alias("t"))
     work_of = latest_rows(editions.select("book_id", "work_id", "loaded_at"), "book_id", "loaded_at").where("work_id IS NOT NULL").select("book_id", "work_id")
     per_work = per_book.join(work_of, "book_id").groupBy("work_id", "year").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("t").alias("t"))
@@ -69,11 +69,22 @@ def pre_cutoff_stats(labels: DataFrame, reviews: DataFrame, editions: DataFrame)
     return asked.join(hits, ["work_id", "cutoff_year"], "left").select("work_id", "cutoff_year", zero("n").alias("pre_cutoff_ratings_count"), mean.alias("pre_cutoff_avg_rating"), zero("t").alias("pre_cutoff_reviews_with_text"))
 
 
-def features(labels: DataFrame, stats: DataFrame, *, impute: float = 3.5, signal: int = 5) -> DataFrame:
+def bloat(stats: DataFrame) -> DataFrame:
+    """One row: the keys (work, cutoff) of the statistics, those with several different rows, and the rows that joining all of them would add."""
+    keys = stats.distinct().groupBy("work_id", "cutoff_year").agg(F.count("*").alias("n"))
+    return keys.agg(F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("added"))
+
+
+def features(labels: DataFrame, stats: DataFrame, *, impute: float = 3.5, signal: int = 5, strict: bool = False) -> DataFrame:
     """Labels with their statistics and derived features, and the split by cutoff year.
 
-    Repeated rows of either table count once; of several statistics of one (work, cutoff) the greatest row.
+    Repeated rows of either table count once; of several statistics of one (work, cutoff) the greatest row, or with
+    ``strict`` an error at run time.
     """
+    if strict:
+        several = F.count("*").over(Window.partitionBy("work_id", "cutoff_year"))
+        stats = stats.distinct().withColumn("_n", several)
+        stats = stats.where(F.when(F.col("_n") > 1, F.raise_error(F.lit("several statistics of one work and cutoff")).cast("boolean")).otherwise(True)).drop("_n")
     rest = [c for c in stats.columns if c not in ("work_id", "cutoff_year")]
     one = stats.groupBy("work_id", "cutoff_year").agg(F.max(F.struct(*rest)).alias("s")).select("work_id", "cutoff_year", "s.*")
     rows = labels.distinct().join(one, ["work_id", "cutoff_year"], "left")

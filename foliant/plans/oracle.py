@@ -139,6 +139,51 @@ per_work AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY nkc_id,
 exact AS (SELECT nkc_id, book_id, work_id FROM per_work QUALIFY row_number() OVER (PARTITION BY nkc_id ORDER BY other, less, far, book_id, work_id) = 1),
 first_ AS (SELECT norm_author, norm_title, min(czech_year) AS first_czech_year FROM records WHERE norm_author <> '' AND norm_title <> '' AND czech_year IS NOT NULL GROUP BY ALL)"""
 
+def _best(name: str, source: str) -> str:
+    """CTEs of the winners among candidates (nkc_id, prefix, czech_year, book_id, score)."""
+    return f"""
+{name}_c AS (SELECT c.nkc_id, c.score, f.book_id, f.work_id, CASE WHEN c.prefix <> '' AND starts_with(lower(f.language_code), c.prefix) THEN 0 ELSE 1 END AS other, coalesce(abs(f.pub_year - c.czech_year), 10000) AS far, -f.ratings AS less FROM {source} c JOIN facts f USING (book_id)),
+{name}_w AS (SELECT *, max(score) OVER (PARTITION BY nkc_id) AS top FROM {name}_c QUALIFY row_number() OVER (PARTITION BY nkc_id, work_id ORDER BY other, far, less, -score, book_id) = 1),
+{name} AS (SELECT w.nkc_id, w.book_id, w.work_id, m.score FROM {name}_w w JOIN (SELECT nkc_id, max(score) AS score FROM {name}_c GROUP BY 1) m USING (nkc_id) QUALIFY row_number() OVER (PARTITION BY w.nkc_id ORDER BY other, less, far, -w.score, book_id, work_id) = 1)"""
+
+
+def _similar(name: str, source: str, a: str, b: str) -> str:
+    """CTEs that add ``score``, the token-set similarity of two texts: the longest common subsequence runs bit-parallel over whole numbers of 128 bits."""
+    words = "list_distinct(list_filter(string_split({}, ' '), lambda w: w <> ''))"
+    mask = "list_transform(list_filter(string_split(r, ''), lambda c: c <> ''), lambda c: coalesce(CAST(list_sum(list_transform(range(1, CAST(length(l) + 1 AS BIGINT)), lambda i: CASE WHEN l[i] = c THEN CAST(pow(2, i - 1) AS HUGEINT) ELSE 0::HUGEINT END)) AS HUGEINT), 0::HUGEINT))"
+    full = "(CAST(pow(2, length(l)) AS HUGEINT) - 1)"
+    ratio = "CASE WHEN {t} > 0 THEN 100::DOUBLE * (1 - ({d})::DOUBLE / ({t})) ELSE 100::DOUBLE END"
+    whole = ratio.format(t="2 * (s + g) + length(l) + length(r)", d="d")
+    left, right = (ratio.format(t=f"2 * s + g + length({x})", d=f"g + length({x})") for x in "lr")
+    return f"""
+{name}_1 AS (SELECT *, {words.format(a)} AS x, {words.format(b)} AS y FROM {source}),
+{name}_2 AS (SELECT *, list_sort(list_filter(x, lambda w: NOT list_contains(y, w))) AS ox, list_sort(list_filter(y, lambda w: NOT list_contains(x, w))) AS oy, list_filter(x, lambda w: list_contains(y, w)) AS both_ FROM {name}_1),
+{name}_3 AS (SELECT *, coalesce(array_to_string(ox, ' '), '') AS l, coalesce(array_to_string(oy, ' '), '') AS r, length(coalesce(array_to_string(both_, ' '), '')) AS s, CASE WHEN len(both_) > 0 THEN 1 ELSE 0 END AS g FROM {name}_2),
+{name}_4 AS (SELECT *, length(l) + length(r) - 2 * (length(l) - bit_count(list_reduce({mask}, lambda acc, m: ((acc + (acc & m)) | (acc - (acc & m))) & {full}, {full}))) AS d FROM {name}_3),
+{name} AS (SELECT * EXCLUDE (x, y, ox, oy, both_, l, r, s, g, d), CAST(floor(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 WHEN s > 0 AND (len(ox) = 0 OR len(oy) = 0) THEN 100 WHEN s > 0 THEN greatest({whole}, {left}, {right}) ELSE {whole} END) AS INT) AS score FROM {name}_4)"""
+
+
+_CASCADE = f"""{_FACTS},
+keyed AS (SELECT * FROM records WHERE norm_author <> '' AND norm_title <> ''),
+titled AS (SELECT DISTINCT f.book_id, f.book_title, a.norm_author FROM facts f JOIN book_authors a USING (book_id) WHERE f.book_title <> ''),
+hit1 AS (SELECT nkc_id, prefix, czech_year, book_id, 100 AS score FROM keyed k JOIN titled b ON b.norm_author = k.norm_author AND b.book_title = k.norm_title),{_best("win1", "hit1")},
+open2 AS (SELECT * FROM keyed WHERE nkc_id NOT IN (SELECT nkc_id FROM win1)),
+pair2 AS (SELECT DISTINCT k.norm_author, k.norm_title, b.book_title FROM open2 k JOIN titled b USING (norm_author)),{_similar("score2", "pair2", "norm_title", "book_title")},
+hit2 AS (SELECT k.nkc_id, k.prefix, k.czech_year, b.book_id, s.score FROM open2 k JOIN score2 s USING (norm_author, norm_title) JOIN titled b USING (norm_author, book_title) WHERE s.score >= 88),{_best("win2", "hit2")},
+open3 AS (SELECT * FROM open2 WHERE nkc_id NOT IN (SELECT nkc_id FROM win2)),
+pair3 AS (SELECT DISTINCT k.norm_title, k.norm_author, b.norm_author AS book_author FROM open3 k JOIN titled b ON b.book_title = k.norm_title),{_similar("score3", "pair3", "norm_author", "book_author")},
+hit3 AS (SELECT k.nkc_id, k.prefix, k.czech_year, b.book_id, max(s.score) AS score FROM open3 k JOIN score3 s USING (norm_title, norm_author) JOIN titled b ON b.book_title = s.norm_title AND b.norm_author = s.book_author WHERE s.score >= 85 GROUP BY ALL),{_best("win3", "hit3")},
+won AS (SELECT 'exact' AS layer, * FROM win1 UNION ALL SELECT 'title', * FROM win2 UNION ALL SELECT 'author', * FROM win3),
+matches AS (SELECT r.nkc_id, coalesce(w.layer, 'unmatched') AS layer, w.book_id, w.work_id, w.score FROM (SELECT DISTINCT nkc_id FROM records) r LEFT JOIN won w USING (nkc_id))"""
+
+
+def _isbn13(x: str) -> str:
+    s = f"upper(regexp_replace({x}, '[\\s\\-]', '', 'g'))"
+    b = f"'978' || substr({s}, 1, 9)"
+    check = f"CAST((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr({b}, CAST(i AS INT), 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 AS INT)::VARCHAR"
+    return f"CASE WHEN regexp_matches({s}, '^[0-9]{{9}}[0-9X]$') THEN {b} || {check} WHEN regexp_matches({s}, '^[0-9]{{12}}$') THEN '9' || {s} ELSE {s} END"
+
+
 _REVIEWS = """
 work_of AS (SELECT book_id, max_by(work_id, loaded_at) AS work_id FROM goodreads_book_details GROUP BY book_id),
 rv AS (
@@ -161,8 +206,32 @@ totals AS (
   SELECT isbn, count(*) AS appearances, min(year) AS first_year, min(rank) AS best_rank, list_sort(list(DISTINCT category)) AS categories
   FROM chart WHERE length(isbn) = 13 AND year IS NOT NULL AND rank IS NOT NULL GROUP BY isbn)"""
 
+_COLUMN_LIST = "nkc_id, oclc, czech_isbn, czech_title, original_title, original_isbn, original_sysnum, author, secondary_authors, czech_pub_year, source_lang, genres"
+_METADATA = """
+meta AS (
+  SELECT b.book_id, coalesce(title, '') AS gr_title, coalesce(CAST(nullif(pub_year, 0) AS VARCHAR), '') AS gr_pub_year, coalesce(j.j->>'$.ratings_count', '') AS gr_ratings_count, coalesce(j.j->>'$.average_rating', '') AS gr_average_rating,
+    coalesce(j.j->>'$.text_reviews_count', '') AS gr_text_reviews_count, CAST(to_json(shelves) AS VARCHAR) AS gr_popular_shelves, language_code AS gr_language_code, CASE WHEN lower(j.j->>'$.is_ebook') = 'true' THEN 'true' ELSE 'false' END AS gr_is_ebook
+  FROM last_ b JOIN j USING (line_no))"""
+_MATCHED = f"""{_CASCADE}, {_JSON}, {_METADATA},
+rows_ AS (SELECT DISTINCT {_COLUMN_LIST} FROM nkc_translations),
+numbers AS (SELECT nkc_id, czech_pub_year, czech_title, source_lang, {_isbn13("n")} AS isbn FROM (SELECT *, unnest(list_filter(string_split(czech_isbn, '|'), lambda v: v <> '')) AS n FROM rows_)),
+chart AS (SELECT isbn, {year("czech_pub_year")} AS y, length(czech_title) % 50 + 1 AS rank, coalesce(source_lang, '') AS category FROM numbers),
+totals AS (SELECT isbn, count(*) AS appearances, min(y) AS first_year, min(rank) AS best_rank, list_distinct(list(category)) AS categories FROM chart WHERE length(isbn) = 13 AND y BETWEEN 2003 AND 2017 AND rank IS NOT NULL GROUP BY isbn),
+sums AS (SELECT nkc_id, CAST(sum(appearances) AS BIGINT) AS appearances, min(first_year) AS first_year, CAST(min(best_rank) AS INT) AS best_rank, array_to_string(list_sort(list_distinct(flatten(list(categories)))), '|') AS categories FROM numbers JOIN totals USING (isbn) GROUP BY 1),
+years_of AS (SELECT nkc_id, min(coalesce(f.first_czech_year, r.czech_year)) AS first_czech_year FROM records r LEFT JOIN first_ f USING (norm_author, norm_title) GROUP BY 1),
+matched AS (
+  SELECT t.*, y.first_czech_year, coalesce(m.layer, 'unmatched') AS match_layer, m.book_id AS matched_book_id, m.work_id AS gr_work_id, m.score AS fuzzy_score,
+    {", ".join(f"coalesce(h.{c}, '') AS {c}" for c in ("gr_title", "gr_pub_year", "gr_ratings_count", "gr_average_rating", "gr_text_reviews_count", "gr_popular_shelves", "gr_language_code", "gr_is_ebook"))},
+    coalesce(s.appearances, 0) AS chart_appearances, s.first_year AS chart_first_year, s.best_rank AS chart_best_rank, coalesce(s.categories, '') AS chart_categories, CASE WHEN coalesce(s.appearances, 0) >= 1 THEN 'true' ELSE 'false' END AS chart_bestseller
+  FROM rows_ t LEFT JOIN years_of y USING (nkc_id) LEFT JOIN matches m USING (nkc_id) LEFT JOIN meta h ON h.book_id = m.book_id LEFT JOIN sums s USING (nkc_id))"""
+_TRAINING = f"""{_MATCHED},
+asked AS (
+  SELECT *, coalesce(TRY_CAST(trim(czech_pub_year) AS DOUBLE), 0)::INT AS _year, coalesce(TRY_CAST(trim(gr_ratings_count) AS DOUBLE), 0) >= 10 AS rated, coalesce(first_czech_year, 0) BETWEEN 1 AND 2002 AS old,
+    coalesce({norm_author("author")}, '') AS _author, coalesce({norm("original_title")}, '') AS _title FROM matched WHERE match_layer <> 'unmatched'),
+grouped AS (SELECT *, CASE WHEN _author = '' OR _title = '' THEN '_solo' || matched_book_id ELSE _author || chr(9) || _title END AS k, _author = '' OR _title = '' AS solo FROM asked WHERE _year >= 2003)"""
+
 _PARTS = """
-years_ AS (SELECT e.work_id, min(coalesce(f.first_czech_year, r.czech_year)) AS first_cz_year FROM exact e JOIN records r USING (nkc_id) LEFT JOIN first_ f USING (norm_author, norm_title) WHERE coalesce(f.first_czech_year, r.czech_year) IS NOT NULL GROUP BY 1),
+years_ AS (SELECT e.work_id, min(coalesce(f.first_czech_year, r.czech_year)) AS first_cz_year FROM matches e JOIN records r USING (nkc_id) LEFT JOIN first_ f USING (norm_author, norm_title) WHERE e.work_id IS NOT NULL AND coalesce(f.first_czech_year, r.czech_year) IS NOT NULL GROUP BY 1),
 parts AS (
   SELECT p.work_id, p.title, p.pub_year, y.first_cz_year, CASE WHEN y.first_cz_year IS NULL THEN 'negative' WHEN y.first_cz_year < 2008 THEN 'before' WHEN y.first_cz_year > 2017 THEN 'after' ELSE 'positive' END AS part
   FROM (SELECT DISTINCT * FROM candidate_pool) p LEFT JOIN years_ y USING (work_id)),
@@ -221,31 +290,66 @@ WITH {_JSON}, c AS (SELECT *, {group("language_code")} AS language, {_BUCKETS} F
 w AS (SELECT work_id, CAST(sum(ratings) AS BIGINT) AS ratings_count, CAST(sum(text_reviews) AS BIGINT) AS text_reviews, count(*) AS n_editions, min(CASE WHEN pub_year BETWEEN 1950 AND 2017 THEN pub_year END) AS pub_year FROM c GROUP BY 1),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY ratings DESC, book_id) = 1)
 SELECT w.work_id, b.book_id AS rep_book_id, b.title, b.language, w.pub_year, w.n_editions, w.ratings_count, w.text_reviews, {_SHARES} FROM w JOIN b USING (work_id)
+WHERE w.ratings_count >= 50 AND w.pub_year IS NOT NULL AND b.language NOT IN ('cze', 'slo')""".replace("last_q", "(SELECT * FROM books WHERE work_id <> '' QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY line_no DESC) = 1)"),
+    "pool_of_rare_works": f"""
+WITH {_JSON}, c AS (SELECT *, {group("language_code")} AS language, {_BUCKETS} FROM last_q),
+w AS (SELECT work_id, CAST(sum(ratings) AS BIGINT) AS ratings_count, CAST(sum(text_reviews) AS BIGINT) AS text_reviews, count(*) AS n_editions, min(CASE WHEN pub_year BETWEEN 1950 AND 2017 THEN pub_year END) AS pub_year FROM c GROUP BY 1),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY ratings DESC, book_id) = 1)
+SELECT w.work_id, b.book_id AS rep_book_id, b.title, b.language, w.pub_year, w.n_editions, w.ratings_count, w.text_reviews, {_SHARES} FROM w JOIN b USING (work_id)
 WHERE w.ratings_count >= 5 AND w.pub_year IS NOT NULL AND b.language NOT IN ('cze', 'slo')""".replace("last_q", "(SELECT * FROM books WHERE work_id <> '' QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY line_no DESC) = 1)"),
+    "pool_counters": f"""
+WITH {_JSON}, c AS (SELECT *, {group("language_code")} AS language, {_BUCKETS} FROM last_q),
+w AS (SELECT work_id, CAST(sum(ratings) AS BIGINT) AS ratings_count, CAST(sum(text_reviews) AS BIGINT) AS text_reviews, count(*) AS n_editions, min(CASE WHEN pub_year BETWEEN 1950 AND 2017 THEN pub_year END) AS pub_year FROM c GROUP BY 1),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY ratings DESC, book_id) = 1)
+
+SELECT count(*) AS works, count(*) FILTER (w.ratings_count < 50) AS dropped_ratings, count(*) FILTER (w.ratings_count >= 50 AND w.pub_year IS NULL) AS dropped_year,
+  count(*) FILTER (w.ratings_count >= 50 AND w.pub_year IS NOT NULL AND b.language IN ('cze', 'slo')) AS dropped_language, count(*) FILTER (w.ratings_count >= 50 AND w.pub_year IS NOT NULL AND b.language NOT IN ('cze', 'slo')) AS kept FROM w JOIN b USING (work_id)""".replace("last_q", "(SELECT * FROM books WHERE work_id <> '' QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY line_no DESC) = 1)"),
     "record_keys": f"WITH {_FACTS} SELECT * FROM (SELECT nkc_id, {norm_author('author')} AS norm_author, {norm('original_title')} AS norm_title, {year('czech_pub_year')} AS czech_year, {prefix('source_lang')} AS prefix FROM (SELECT DISTINCT nkc_id, coalesce(author, '') AS author, coalesce(original_title, '') AS original_title, coalesce(czech_pub_year, '') AS czech_pub_year, coalesce(source_lang, '') AS source_lang FROM nkc_translations))",
     "match_exact": f"WITH {_FACTS} SELECT * FROM exact",
+    "match_cascade": f"WITH {_CASCADE} SELECT * FROM matches",
+    "match_layers": f"WITH {_CASCADE} SELECT layer, count(*) AS n FROM matches GROUP BY 1",
+    "match_funnel": f"""
+WITH {_CASCADE}, m AS (SELECT layer AS measure, count(*) AS n FROM matches GROUP BY 1 UNION ALL SELECT 'matched', count(*) FROM matches WHERE layer <> 'unmatched' HAVING count(*) > 0 UNION ALL SELECT 'records', count(*) FROM matches)
+SELECT measure, n, round(n / (SELECT count(*) FROM matches), 4) AS share FROM m""",
+    "book_metadata": f"WITH {_JSON}, {_METADATA} SELECT * FROM meta",
+    "matched_dataset": f"WITH {_MATCHED} SELECT * FROM matched",
+    "training_dataset": f"""
+WITH {_TRAINING}
+SELECT * EXCLUDE (_year, rated, old, _author, _title, k, solo) FROM grouped WHERE NOT old AND rated QUALIFY row_number() OVER (PARTITION BY k ORDER BY chart_appearances DESC, _year, nkc_id, czech_title NULLS FIRST, czech_isbn NULLS FIRST) = 1""",
+    "training_counters": f"""
+WITH {_TRAINING}, g AS (SELECT k, bool_or(solo) AS solo, count(*) FILTER (old) AS o, count(*) FILTER (NOT old AND rated) AS n FROM grouped GROUP BY k)
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS candidates, CAST(coalesce(sum(o), 0) AS BIGINT) AS dropped_first_year, count(*) FILTER (n > 1) AS groups_of_several, CAST(coalesce(sum(n - 1) FILTER (n > 1), 0) AS BIGINT) AS rows_collapsed, count(*) FILTER (solo AND n > 0) AS solo, count(*) FILTER (n > 0) AS works FROM g""",
+    "matched_outside_pool": f"WITH {_CASCADE}, {_PARTS} SELECT * FROM years_ WHERE work_id NOT IN (SELECT work_id FROM candidate_pool)",
+    "matched_metadata": f"WITH {_CASCADE} SELECT * EXCLUDE (author_id) FROM facts WHERE book_id IN (SELECT book_id FROM matches)",
+    "unmatched_works": f"WITH {_CASCADE} SELECT DISTINCT work_id FROM candidate_pool WHERE work_id NOT IN (SELECT work_id FROM matches WHERE work_id IS NOT NULL)",
+    "label_partition": f"WITH {_CASCADE}, {_PARTS} SELECT * FROM parts",
+    "label_cutoffs": f"WITH {_CASCADE}, {_PARTS} SELECT * FROM drawn WHERE cutoff_year IS NOT NULL AND pub_year < cutoff_year",
+    "cutoff_years": f"WITH {_CASCADE}, {_PARTS} SELECT y, n FROM dist",
+    "chart_pages": """
+WITH r AS (SELECT DISTINCT * FROM nkc_translations),
+n AS (SELECT *, list_filter(string_split(czech_isbn, '|'), lambda v: v <> '') AS l FROM r),
+u AS (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM n)
+SELECT nkc_id, trim(coalesce(source_lang, '')) AS category, CAST(2 * i - 1 AS INT) AS rank, trim(l[i]) AS isbn, trim(coalesce(author, '')) AS author, trim(coalesce(original_title, '')) AS title, 'x' AS publisher FROM u""",
+    "repaired_texts": "SELECT DISTINCT nkc_id, author AS repaired, author AS decoded FROM nkc_translations",
     "first_czech_year": f"WITH {_FACTS} SELECT * FROM first_",
-    "matched_metadata": f"WITH {_FACTS} SELECT * EXCLUDE (author_id) FROM facts WHERE book_id IN (SELECT book_id FROM exact)",
-    "unmatched_works": f"WITH {_FACTS} SELECT DISTINCT work_id FROM candidate_pool WHERE work_id NOT IN (SELECT work_id FROM exact)",
     "chart_totals": f"WITH {_JSON}, {_REVIEWS}, {_CHART} SELECT isbn, appearances, first_year, best_rank, array_to_string(categories, '|') AS categories FROM totals",
     "chart_roll_up": f"""
 WITH {_JSON}, {_REVIEWS}, {_CHART}, w AS (SELECT work_id, isbn13 AS isbn FROM books WHERE work_id <> '' AND isbn13 <> '')
 SELECT work_id, CAST(coalesce(sum(appearances), 0) AS BIGINT) AS appearances, min(first_year) AS first_year, min(best_rank) AS best_rank, coalesce(array_to_string(list_sort(list_distinct(flatten(list(categories) FILTER (categories IS NOT NULL)))), '|'), '') AS categories,
   CASE WHEN coalesce(sum(appearances), 0) >= 1 THEN 'true' ELSE 'false' END AS bestseller FROM w LEFT JOIN totals USING (isbn) GROUP BY 1""",
     "training_rows": f"""
-WITH {_FACTS}, r AS (
-  SELECT r.nkc_id, norm_author, norm_title, czech_year, CAST(f.ratings % 3 AS INT) AS appearances FROM records r JOIN exact e USING (nkc_id) JOIN facts f ON f.book_id = e.book_id LEFT JOIN first_ y USING (norm_author, norm_title)
+WITH {_CASCADE}, r AS (
+  SELECT r.nkc_id, norm_author, norm_title, czech_year, CAST(f.ratings % 3 AS INT) AS appearances FROM records r JOIN matches e USING (nkc_id) JOIN facts f ON f.book_id = e.book_id LEFT JOIN first_ y USING (norm_author, norm_title)
   WHERE czech_year >= 2003 AND (coalesce(first_czech_year, 0) = 0 OR first_czech_year >= 2003) AND f.ratings >= 10)
 SELECT norm_author, norm_title, nkc_id, czech_year, appearances, n_rows FROM (SELECT *, count(*) OVER (PARTITION BY norm_author, norm_title) AS n_rows FROM r)
 QUALIFY row_number() OVER (PARTITION BY norm_author, norm_title ORDER BY appearances DESC, czech_year, nkc_id) = 1""",
-    "label_partition": f"WITH {_FACTS}, {_PARTS} SELECT * FROM parts",
-    "label_cutoffs": f"WITH {_FACTS}, {_PARTS} SELECT * FROM drawn WHERE cutoff_year IS NOT NULL AND pub_year < cutoff_year",
-    "cutoff_years": f"WITH {_FACTS}, {_PARTS} SELECT y, n FROM dist",
     "review_stats": f"WITH {_REVIEWS}, {_STATS} SELECT * FROM stats",
     "stats_audit": f"""
 WITH {_REVIEWS}, {_STATS}, g AS (SELECT work_id, cutoff_year, max(pre_cutoff_ratings_count) AS given FROM pre_cutoff_stats GROUP BY ALL)
 SELECT CASE WHEN given IS NULL THEN 'missing' WHEN given > coalesce(pre_cutoff_ratings_count, 0) THEN 'high' WHEN given < pre_cutoff_ratings_count THEN 'low' ELSE 'equal' END AS verdict, count(*) AS n FROM g LEFT JOIN stats USING (work_id, cutoff_year) GROUP BY 1""",
     "feature_table": f"WITH {_FEATURES} SELECT * FROM ft",
+    "feature_bloat": "WITH k AS (SELECT work_id, cutoff_year, count(*) AS n FROM (SELECT DISTINCT * FROM pre_cutoff_stats) GROUP BY ALL) SELECT count(*) AS keys, count(*) FILTER (n > 1) AS repeated, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS added FROM k",
+    "feature_names": " UNION ALL ".join(f"SELECT '{c}' AS feature" for c in _FEATURE_NAMES),
     "split_summary": f"WITH {_FEATURES} SELECT split, count(*) AS n, CAST(sum(translated_cz) AS BIGINT) AS positives, round(avg(translated_cz), 6) AS rate, min(cutoff_year) AS first_year, max(cutoff_year) AS last_year FROM ft GROUP BY split",
     "feature_means": f"WITH {_FEATURES} {_long('round(avg({c}), 6)', _FEATURE_NAMES, 'mean')}",
     "feature_correlations": f"WITH {_FEATURES}, long_ AS ({_long('CASE WHEN stddev_pop({c}) > 0 AND stddev_pop(translated_cz) > 0 THEN round(corr({c}, translated_cz), 6) END', _FEATURE_NAMES, 'correlation')}) SELECT * FROM long_ WHERE correlation IS NOT NULL",
@@ -256,6 +360,14 @@ WITH r AS (
 a AS (SELECT s, sum(y) AS p, sum(1 - y) AS q FROM r GROUP BY s),
 b AS (SELECT *, coalesce(sum(p) OVER w, 0) AS pb, coalesce(sum(q) OVER w, 0) AS qb FROM a WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT round(sum(q * (pb + p / 2)) / (sum(p) * sum(q)), 6) AS roc_auc, round(sum(CASE WHEN p > 0 THEN p * (pb + p) / (pb + p + qb + q) END) / sum(p), 6) AS pr_auc FROM b)
+SELECT CAST(sum(y) AS BIGINT) AS positives, CAST(sum(1 - y) AS BIGINT) AS negatives, any_value(c.roc_auc) AS roc_auc, any_value(c.pr_auc) AS pr_auc, {_at(50)}, {_at(100)}, {_at(250)} FROM r, c""",
+    "popularity_baseline": f"""
+WITH {_FEATURES}, r AS (
+  SELECT translated_cz AS y, pre_cutoff_ratings_count AS s, row_number() OVER (ORDER BY pre_cutoff_ratings_count DESC, work_id, cutoff_year) AS rk
+  FROM ft WHERE split = 'val' AND translated_cz IS NOT NULL AND pre_cutoff_ratings_count IS NOT NULL),
+a AS (SELECT s, sum(y) AS p, sum(1 - y) AS q FROM r GROUP BY s),
+b AS (SELECT *, coalesce(sum(p) OVER w, 0) AS pb, coalesce(sum(q) OVER w, 0) AS qb FROM a WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT round(sum(q * (pb + p / 2)) / (sum(p) * sum(q)), 6) AS roc_auc, round(sum(CASE WHEN p > 0 THEN p * (pb + p) / (pb + p + qb + q) END) / sum(p), 6) AS pr_auc FROM b)
 SELECT CAST(sum(y) AS BIGINT) AS positives, CAST(sum(1 - y) AS BIGINT) AS negatives, any_value(c.roc_auc) AS roc_auc, any_value(c.pr_auc) AS pr_auc, {_at(50)}, {_at(100)}, {_at(250)} FROM r, c""",
     "language_counts": "SELECT coalesce(nullif(trim(lower(language)), ''), '<missing>') AS language, count(*) AS n FROM candidate_pool GROUP BY 1",
     "language_groups": f"SELECT {group('language_code')} AS language, count(*) AS n FROM goodreads_book_details GROUP BY 1",

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from foliant.functions import codes
 from foliant.functions import text as t
-from foliant.operators import books, cascade, catalogue, charts, labels, models, nested, point_in_time, profile
+from foliant.operators import books, cascade, catalogue, charts, dataset, labels, models, nested, point_in_time, profile
 from foliant.plans.oracle import SQL
 from foliant.session import table
+from foliant.sources import readers
 from foliant.streaming import reviews as review_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,9 +82,22 @@ def author_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pool_of_works(spark: SparkSession, d: str) -> DataFrame:
+    return books.candidate_pool(books.editions(table(spark, d, "goodreads_books_raw")))
+
+
+def pool_of_rare_works(spark: SparkSession, d: str) -> DataFrame:
+    """The pool with a lower threshold of ratings."""
     return books.candidate_pool(books.editions(table(spark, d, "goodreads_books_raw")), least_ratings=5)
 
 
+def pool_counters(spark: SparkSession, d: str) -> DataFrame:
+    return books.pool_counts(books.editions(table(spark, d, "goodreads_books_raw")))
+
+
+def book_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.book_metadata(books.editions(table(spark, d, "goodreads_books_raw")))
+
+
 # ---- matching
 
 
@@ -116,27 +130,41 @@ def first_czech_year(spark: SparkSession, d: str) -> DataFrame:
     return cascade.first_year(_records(spark, d))
 
 
-# What follows from the match comes twice: of the exact layer alone, which SQL can say, and as ``cascade_...`` of the
-# winners of all layers, which is the whole job (as in the reference and in the pipeline).
+def match_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.funnel(match_cascade(spark, d))
 
 
-def matched_metadata(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
-    """Facts of the matched books, by a semi join with the winners."""
-    facts, _ = _books(spark, d)
-    return facts.join(match(spark, d), "book_id", "left_semi")
+def matched_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """All catalogue rows with match, metadata and charts (each record with a year stands in for a chart row of its numbers)."""
+    translations, records = table(spark, d, "nkc_translations"), _records(spark, d)
+    numbers = translations.distinct().select(F.explode(t.pipe_list(F.col("czech_isbn"))).alias("isbn"), t.parse_year(F.col("czech_pub_year")).alias("year"), (F.length("czech_title") % 50 + 1).alias("rank"), F.coalesce("source_lang", F.lit("")).alias("category"))
+    totals = charts.chart_totals(numbers.where("year BETWEEN 2003 AND 2017"))
+    return dataset.matched_table(translations, records, cascade.first_year(records), match_cascade(spark, d), book_metadata(spark, d), totals)
 
 
-def cascade_matched_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return matched_metadata(spark, d, match_cascade)
+def training_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.training_table(matched_dataset(spark, d))
 
 
-def unmatched_works(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
+def training_counters(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.training_counts(matched_dataset(spark, d))
+
+
+def matched_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of the matched books, by a semi join with the winners."""
+    facts, _ = _books(spark, d)
+    return facts.join(match_cascade(spark, d), "book_id", "left_semi")
+
+
+def unmatched_works(spark: SparkSession, d: str) -> DataFrame:
     """Works of the pool that no record matches."""
-    return table(spark, d, "candidate_pool").select("work_id").distinct().join(match(spark, d), "work_id", "left_anti")
+    return table(spark, d, "candidate_pool").select("work_id").distinct().join(match_cascade(spark, d), "work_id", "left_anti")
 
 
-def cascade_unmatched_works(spark: SparkSession, d: str) -> DataFrame:
-    return unmatched_works(spark, d, match_cascade)
+def matched_outside_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Matched works with a Czech year that are not in the pool: positives lost to its filters."""
+    years = cascade.first_year_of_works(match_cascade(spark, d), _records(spark, d))
+    return years.join(table(spark, d, "candidate_pool").select("work_id").distinct(), "work_id", "left_anti")
 
 
 # ---- charts: reviews stand in for chart rows (rank = rating, category = language of the edition)
@@ -159,44 +187,46 @@ def chart_roll_up(spark: SparkSession, d: str) -> DataFrame:
     return charts.roll_up(works, charts.chart_totals(_chart(spark, d)), key="work_id", numbers="numbers")
 
 
-def training_rows(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
+def chart_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Chart rows read back from pages: a page for each record, with a row for each of its numbers and short rows between."""
+    esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    row = lambda i: F.concat(F.lit("<tr>"), cell(esc(i)), cell(esc(F.col("author"))), cell(F.concat(F.lit("<b>"), esc(F.col("original_title")), F.lit("</b>"))), cell(F.lit("x")), F.lit("</tr><tr><td>-</td></tr>"))
+    body = F.array_join(F.transform(t.pipe_list(F.col("czech_isbn")), row), "")
+    html = F.concat(F.lit('<p>no</p><table class="a ranking"><h2>'), esc(F.col("source_lang")), F.lit("</h2><tbody>"), body, F.lit("</tbody></table><table><tr><td>no</td></tr></table>"))
+    pages = table(spark, d, "nkc_translations").distinct().select(F.col("nkc_id").alias("year"), F.col("czech_pub_year").alias("week"), html.alias("html"))
+    return readers.chart_rows(pages).select(F.col("year").alias("nkc_id"), "category", "rank", "isbn", "author", "title", "publisher")
+
+
+def repaired_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Names whose letters were read as C1 controls, and names as bytes, repaired."""
+    rows = table(spark, d, "nkc_translations").select("nkc_id", "author").distinct()
+    broken = F.translate("author", "šžťŠŽŤ", "\x9a\x9e\x9d\x8a\x8e\x8d")
+    return rows.select("nkc_id", t.fix_c1(broken).alias("repaired"), t.decode_mixed(F.encode("author", "UTF-8")).alias("decoded"))
+
+
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
     facts, _ = _books(spark, d)
     records = _records(spark, d)
-    found = match(spark, d).where("book_id IS NOT NULL").select("nkc_id", "book_id", F.lit("matched").alias("layer"))
+    found = match_cascade(spark, d).where("book_id IS NOT NULL").select("nkc_id", "book_id", F.lit("matched").alias("layer"))
     rows = records.join(found, "nkc_id").join(facts.select("book_id", "ratings"), "book_id").join(cascade.first_year(records), ["norm_author", "norm_title"], "left").withColumn("appearances", F.col("ratings") % 3)
     return charts.training_rows(rows)
 
 
-def cascade_training_rows(spark: SparkSession, d: str) -> DataFrame:
-    return training_rows(spark, d, match_cascade)
-
-
 # ---- labels and features
 
 
-def label_partition(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
-    found = match(spark, d)
+def label_partition(spark: SparkSession, d: str) -> DataFrame:
+    found = match_cascade(spark, d)
     return labels.partition(table(spark, d, "candidate_pool").distinct(), cascade.first_year_of_works(found, _records(spark, d))).select("work_id", "title", "pub_year", "first_cz_year", "part")
 
 
-def cascade_label_partition(spark: SparkSession, d: str) -> DataFrame:
-    return label_partition(spark, d, match_cascade)
-
-
-def label_cutoffs(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
-    return labels.cutoffs(label_partition(spark, d, match)).select("work_id", "title", "pub_year", "translated_cz", "cutoff_year")
-
-
-def cascade_label_cutoffs(spark: SparkSession, d: str) -> DataFrame:
-    return label_cutoffs(spark, d, match_cascade)
+def label_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    return labels.cutoffs(label_partition(spark, d)).select("work_id", "title", "pub_year", "translated_cz", "cutoff_year")
 
 
-def cutoff_years(spark: SparkSession, d: str, match: Query = match_exact) -> DataFrame:
-    return labels.year_distribution(label_partition(spark, d, match))
-
-
-def cascade_cutoff_years(spark: SparkSession, d: str) -> DataFrame:
-    return cutoff_years(spark, d, match_cascade)
+def cutoff_years(spark: SparkSession, d: str) -> DataFrame:
+    return labels.year_distribution(label_partition(spark, d))
 
 
 def review_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -216,6 +246,21 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("log_pre_cutoff_ratings_count", "log_pre_cutoff_text_reviews")}).select("work_id", "cutoff_year", "translated_cz", "split", *labels.FEATURES)
 
 
+def feature_bloat(spark: SparkSession, d: str) -> DataFrame:
+    return labels.bloat(table(spark, d, "pre_cutoff_stats"))
+
+
+def feature_names(spark: SparkSession, d: str) -> DataFrame:
+    """The model's columns of the feature table; identifiers, label and split keys are apart."""
+    rows = labels.check_split(labels.features(table(spark, d, "translation_labels"), table(spark, d, "pre_cutoff_stats")))
+    return profile.means(rows, labels.feature_columns(rows)).select(F.col("column").alias("feature"))
+
+
+def popularity_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The baseline of the model comparison: the validation rows ranked by their ratings."""
+    return profile.ranking(feature_table(spark, d).where("split = 'val'"), "translated_cz", "pre_cutoff_ratings_count", ["work_id", "cutoff_year"])
+
+
 def split_summary(spark: SparkSession, d: str) -> DataFrame:
     return feature_table(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.sum("translated_cz").alias("positives"), F.round(F.avg("translated_cz"), 6).alias("rate"), F.min("cutoff_year").alias("first_year"), F.max("cutoff_year").alias("last_year"))
 
@@ -347,7 +392,7 @@ _ALL = [
     match_cascade, match_layers, first_czech_year, matched_metadata, unmatched_works, chart_totals, chart_roll_up, training_rows, label_partition, label_cutoffs, cutoff_years, review_stats, stats_audit, feature_table, split_summary,
     feature_means, feature_correlations, ranking_metrics, model_comparison, language_counts, language_groups, rates_by_language, distinct_works, filled_shares, ratings_histogram, year_histogram, zero_signal, isbn_forms, written_years, review_years,
     clean_titles, author_names, language_targets, shelves_as_json, pool_of_parts, orders_before, events_json, streamed_counts,
-    cascade_matched_metadata, cascade_unmatched_works, cascade_training_rows, cascade_label_partition, cascade_label_cutoffs, cascade_cutoff_years,
+    pool_of_rare_works, pool_counters, book_metadata, match_funnel, matched_dataset, training_dataset, training_counters, matched_outside_pool, chart_pages, repaired_texts, feature_bloat, feature_names, popularity_baseline,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 

@@ -48,17 +48,11 @@ def test_whole_match(spark, folder, winners):
     first = {v[2]: year[n] for n, v in winners.items() if v[2]}
     part = {w: "negative" if w not in first else "before" if first[w] < 2008 else "positive" for _, w, *_ in BOOKS}
 
-    assert {r.book_id for r in ask("cascade_matched_metadata")} == {v[1] for v in winners.values() if v[1]}
-    assert {r.work_id for r in ask("cascade_unmatched_works")} == {"w4"} == {w for w, p in part.items() if p == "negative"}
-    assert {(r.work_id, r.first_cz_year, r.part) for r in ask("cascade_label_partition")} == {(w, first.get(w), p) for w, p in part.items()}
+    assert {r.book_id for r in ask("matched_metadata")} == {v[1] for v in winners.values() if v[1]}
+    assert {r.work_id for r in ask("unmatched_works")} == {"w4"} == {w for w, p in part.items() if p == "negative"}
+    assert {(r.work_id, r.first_cz_year, r.part) for r in ask("label_partition")} == {(w, first.get(w), p) for w, p in part.items()}
     years = sorted(first[w] for w, p in part.items() if p == "positive")
-    assert {(r.y, r.n) for r in ask("cascade_cutoff_years")} == {(y, years.count(y)) for y in years}
+    assert {(r.y, r.n) for r in ask("cutoff_years")} == {(y, years.count(y)) for y in years}
     drawn = years[int(int(hashlib.md5(b"w4|0").hexdigest()[:8], 16) / 2**32 * len(years))]  # all years are after its publication
-    assert {(r.work_id, r.translated_cz, r.cutoff_year) for r in ask("cascade_label_cutoffs")} == {("w4", 0, drawn), *((w, 1, first[w]) for w, p in part.items() if p == "positive")}
-    assert {(r.nkc_id, r.czech_year) for r in ask("cascade_training_rows")} == {(n, y) for n, y in year.items() if winners[n][1] and y >= 2003}
-
-
-def test_exact_layer_is_less(spark, folder):
-    """What the queries with SQL leave out."""
-    parts = {r.work_id: r.part for r in entry.queries()["label_partition"](spark, folder).collect()}
-    assert parts == {"w1": "positive", "w2": "negative", "w3": "negative", "w4": "negative", "w5": "before"}
+    assert {(r.work_id, r.translated_cz, r.cutoff_year) for r in ask("label_cutoffs")} == {("w4", 0, drawn), *((w, 1, first[w]) for w, p in part.items() if p == "positive")}
+    assert {(r.nkc_id, r.czech_year) for r in ask("training_rows")} == {(n, y) for n, y in year.items() if winners[n][1] and y >= 2003}
