@@ -1,8 +1,8 @@
 """Problem 9: the reading level of each document.
 
-A smoothed unigram language model for each grade level, trained on the rated documents. Each sentence has a
-posterior over the levels; the document's level is the one with the highest mean posterior of its
-sentences, so that a long quotation from another level doesn't decide by its sheer likelihood.
+A smoothed unigram language model for each grade level, trained on the rated documents. A document's level is the one
+of highest posterior, all levels being equally likely before, by the likelihood of all its words. As an option each sentence has a posterior and their
+mean decides, so that a long quotation from another level doesn't decide by its sheer likelihood.
 """
 
 from __future__ import annotations
@@ -47,15 +47,15 @@ class LevelModel:
     place: dict[str, int]
     log_p: np.ndarray
 
-    def posterior(self, text: str) -> np.ndarray | None:
-        """Mean posterior of the sentences over LEVELS; None if the text has no word."""
+    def posterior(self, text: str, *, by_sentence: bool = False) -> np.ndarray | None:
+        """Posterior over LEVELS, of the whole text or as the mean of its sentences'; None if the text has no word."""
         split = sentences(text)
         if not split:
             return None
         unknown = len(self.place)
         get = self.place.get
         ids = np.fromiter((get(w, unknown) for s in split for w in s), np.int64)
-        starts = np.cumsum([0, *map(len, split[:-1])])
+        starts = np.cumsum([0, *map(len, split[:-1])]) if by_sentence else np.zeros(1, np.int64)
         score = np.add.reduceat(self.log_p[ids], starts, axis=0)
         p = np.exp(score - score.max(axis=1, keepdims=True))
         return (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
@@ -98,7 +98,8 @@ def train(documents: DataFrame, ratings: DataFrame, *, doc: str = "doc_id", text
     missing = [k for k in range(4) if not counts[:, k].sum()]
     if missing:
         none = [F.lit(None).cast("double").alias(f"v{b}") for b in LEVELS]
-        seeds = documents.where(F.col(text).isNotNull()).orderBy(F.xxhash64(doc), doc).limit(max_documents).select(F.col(text).alias("t"), *none)
+        chosen = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc")).distinct().orderBy(F.xxhash64("_doc"), "_doc").limit(max_documents)  # ids alone are ordered
+        seeds = documents.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(doc) == F.col("_doc")).select(F.col(text).alias("t"), *none)
         seeded = {r["w"]: [r["c1"], r["c2"], r["c3"], r["c4"]] for r in counted(seeds)}
         known = {r["w"]: list(c) for r, c in zip(rows, counts.tolist(), strict=True)}
         for w, c in seeded.items():
@@ -114,7 +115,7 @@ def train(documents: DataFrame, ratings: DataFrame, *, doc: str = "doc_id", text
     return LevelModel({w: k for k, w in enumerate(words)}, np.vstack([log_p, np.zeros((1, 4))]).astype(np.float64))
 
 
-def assign(documents: DataFrame, model: LevelModel, *, doc: str = "doc_id", text: str = "text", least_words: int = 40) -> DataFrame:
+def assign(documents: DataFrame, model: LevelModel, *, doc: str = "doc_id", text: str = "text", least_words: int = 40, by_sentence: bool = False) -> DataFrame:
     """(doc, band, p1 .. p4) of each document of ``least_words`` whitespace-separated words or more.
 
     Null texts and shorter ones have no row; a text with enough words none of which has a letter gets band 3,
@@ -129,7 +130,7 @@ def assign(documents: DataFrame, model: LevelModel, *, doc: str = "doc_id", text
             for k, t in enumerate(batch.column(1).to_pylist()):
                 if t is None or len(t.split()) < least_words:
                     continue
-                p = shared.value.posterior(t)
+                p = shared.value.posterior(t, by_sentence=by_sentence)
                 keep.append(k)
                 bands.append(3 if p is None else int(p.argmax()) + 1)
                 parts.append(np.full(4, 0.25) if p is None else p)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from foliant.llm import level as k
 
 POOLS = {1: "cat sat hat big red dog ran fun".split(), 2: "teacher garden mystery library neighbour summer holiday picnic".split(), 3: "reluctant marriage journalist confession widow archive provincial novel".split(), 4: "epistemological narrative contextualisation metatextual provenance historiographical canonisation".split()}
@@ -28,9 +30,10 @@ def corpus(spark, seed=0):
     return spark.createDataFrame(docs, "doc_id long, text string, band string"), spark.createDataFrame(labels, "doc_id long, rater string, band int"), truth
 
 
-def test_held_out_accuracy(spark):
+@pytest.mark.parametrize("by_sentence", [False, True])
+def test_held_out_accuracy(spark, by_sentence):
     docs, labels, truth = corpus(spark)
-    got = {r.doc_id: r.band for r in k.found(docs, labels).collect()}
+    got = {r.doc_id: r.band for r in k.assign(docs, k.train(docs, labels), by_sentence=by_sentence).collect()}
     assert {1000, 1001, 1002}.isdisjoint(got) and got[1003] == 1 and got[1004] == 3 and got[1005] == 4
     held_out = [i for i in truth if i >= 120]
     assert sum(got[i] == truth[i] for i in held_out) / len(held_out) > 0.97
@@ -58,6 +61,14 @@ def test_formula_seeds_what_nobody_rated(spark):
     assert k.found(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_posterior_is_that_of_all_words():
+    import numpy as np
+
+    model = k.LevelModel({"a": 0, "b": 1}, np.log(np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.6, 0.2, 0.1], [1, 1, 1, 1]])))
+    p = np.array([0.7 * 0.1 * 0.1, 0.1 * 0.6 * 0.6, 0.1 * 0.2 * 0.2, 0.1 * 0.1 * 0.1])
+    assert np.allclose(model.posterior("A. b! b? zzz"), p / p.sum()) and model.posterior("1 2") is None
+
+
 def test_posteriors(spark):
     docs, labels, _ = corpus(spark)
     for r in k.assign(docs, k.train(docs, labels)).limit(20).collect():
