@@ -46,21 +46,15 @@ def is_translation(fields: Column, target: str = "cze", unknown: str = "und") ->
     return F.exists(instances(fields, "041"), qualifies)
 
 
-def translation_rows(records: DataFrame, *, min_year: int | None = None, least_year: int = 1800) -> DataFrame:
-    """The flat row of each translation; a record dated before ``least_year`` is left out.
-
-    With ``min_year`` undated and older records go too. Missing values are empty strings; of a control tag
-    that repeats the last counts. ``line_no`` keeps records apart that were delivered twice.
-    """
+def _row_columns() -> list[Column]:
+    """What a record's row holds, and with a leading _ what the inventory asks besides."""
     f = F.col("datafield")
-    rows = records.where(is_translation(f))
     control = F.filter(F.coalesce("controlfield", F.array().cast("array<struct<tag:string,text:string>>")), lambda c: c["tag"] == "001")
     year = F.coalesce(t.parse_year(first_value(f, "260", "c")), t.parse_year(first_value(f, "264", "c")))
     fallback = F.get(F.filter(F.transform(values(f, "765", "t"), t.clean), lambda x: x.isNotNull()), F.lit(0))
     empty = lambda c: F.coalesce(c, F.lit(""))
     languages = F.filter(values(f, "041", "h"), lambda h: ~h.isin("cze", "und"))
-    rows = rows.select(
-        "line_no",
+    return [
         empty(F.trim(F.get(F.reverse(control), F.lit(0))["text"])).alias("nkc_id"),
         empty(t.parse_oclc(values(f, "035", "a"))).alias("oclc"),
         distinct_join(F.transform(values(f, "020", "a"), t.clean_isbn)).alias("czech_isbn"),
@@ -77,21 +71,36 @@ def translation_rows(records: DataFrame, *, min_year: int | None = None, least_y
         empty(first_value(f, "264", "c")).alias("_c264"),
         (F.size(instances(f, "765")) > 0).alias("_has765"),
         (F.size(values(f, "655", "a")) > 0).alias("_has655"),
-    )
+    ]
+
+
+def translation_rows(records: DataFrame, *, min_year: int | None = None, least_year: int = 1800) -> DataFrame:
+    """The flat row of each translation; a record dated before ``least_year`` is left out.
+
+    With ``min_year`` undated and older records go too. Missing values are empty strings; of a control tag
+    that repeats the last counts. ``line_no`` keeps records apart that were delivered twice.
+    """
+    rows = records.where(is_translation(F.col("datafield"))).select("line_no", *_row_columns())
     rows = rows.where(F.col("_year").isNull() | (F.col("_year") >= least_year))
     if min_year is not None:
         rows = rows.where(F.col("_year") >= min_year)
-    return rows.withColumn("czech_pub_year", empty(F.col("_year").cast("string")))
+    return rows.withColumn("czech_pub_year", F.coalesce(F.col("_year").cast("string"), F.lit("")))
+
 
+def inventory(records: DataFrame, *, least_year: int = 1800) -> DataFrame:
+    """One row: records, records with a language field, translations, and the share of them that has each field.
 
-def inventory(records: DataFrame) -> DataFrame:
-    """One row: records, records with a language field, translations, and the share of them that has each field."""
-    totals = records.agg(F.count("*").alias("total_records"), F.coalesce(F.sum((F.size(instances(F.col("datafield"), "041")) > 0).cast("long")), F.lit(0)).alias("records_with_041"))
-    has = lambda c: F.col(c) != ""
+    One scan: a row is built only of records that are translations, beside the counts over all.
+    """
+    f = F.col("datafield")
+    rows = records.select((F.size(instances(f, "041")) > 0).cast("long").alias("n041"), F.when(is_translation(f), F.struct(*_row_columns())).alias("r"))
+    rows = rows.select("n041", F.when(F.col("r._year").isNull() | (F.col("r._year") >= least_year), F.col("r")).alias("r"))
+    has = lambda c: F.col(f"r.{c}") != ""
     fields = {
-        "oclc": has("oclc"), "czech_title": has("czech_title"), "original_title": has("original_title"), "author": has("author"), "c260": has("_c260"), "c264": has("_c264"), "year": has("czech_pub_year"),
-        "link": F.col("_has765"), "original_isbn": has("original_isbn"), "original_sysnum": has("original_sysnum"), "genre": F.col("_has655"), "isbn": has("czech_isbn"),
+        "oclc": has("oclc"), "czech_title": has("czech_title"), "original_title": has("original_title"), "author": has("author"), "c260": has("_c260"), "c264": has("_c264"), "year": F.col("r._year").isNotNull(),
+        "link": F.col("r._has765"), "original_isbn": has("original_isbn"), "original_sysnum": has("original_sysnum"), "genre": F.col("r._has655"), "isbn": has("czech_isbn"),
     }
-    shares = translation_rows(records).agg(F.count("*").alias("translation_records"), *[F.round(F.coalesce(F.avg(c.cast("double")), F.lit(0.0)), 4).alias(f"share_{n}") for n, c in fields.items()])
-    both = totals.crossJoin(shares)  # one row each
+    kept = F.col("r").isNotNull()
+    shares = [F.round(F.coalesce(F.avg(F.when(kept, c.cast("double"))), F.lit(0.0)), 4).alias(f"share_{n}") for n, c in fields.items()]
+    both = rows.agg(F.count("*").alias("total_records"), F.coalesce(F.sum("n041"), F.lit(0)).alias("records_with_041"), F.count_if(kept).alias("translation_records"), *shares)
     return both.withColumn("filter_rate", F.round(F.col("translation_records") / F.greatest("total_records", F.lit(1)), 4))

@@ -8,11 +8,16 @@ before, so that the join never meets a tie.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import ceil
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.session import durable
+
 #: The form of review dates is fixed: "Sun Dec 31 23:30:00 -0800 2016".
 DATE_FORM = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2} \d{2}:\d{2}:\d{2} [+-]\d{4} \d{4}$"
 DATE_PATTERN = "MMM d HH:mm:ss Z yyyy"
@@ -51,6 +56,14 @@ def resolve_versions(versions: DataFrame, entity: str, available_at: str, prefer
     return best.select(entity, available_at, *[F.col(f"_best.{c}").alias(c) for c in versions.columns if c not in (entity, available_at)])
 
 
+@lru_cache(maxsize=1)
+def _database():
+    """One in-memory database for each Python worker; beyond its memory it fails rather than spill to the machine's disk."""
+    import duckdb
+
+    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+
+
 def point_in_time_join(
     events: DataFrame,
     versions: DataFrame,
@@ -62,25 +75,25 @@ def point_in_time_join(
     prefer: list[str] | None = None,
     segment_width: int = 64,
     buckets: int | None = None,
+    bucket_rows: int = 50_000,
 ) -> DataFrame:
     """``events`` with ``values`` of the latest version available strictly before the event.
 
     Every event row comes out once, with nulls where nothing was known (also if its entity or time is
     null). ``at`` and ``available_at`` are whole numbers (years, days, epoch seconds). Time is cut into
-    segments of ``segment_width`` units, and bucket = hash(entity, segment), so a hot entity is spread over
-    its segments; the state at the start of a segment is carried into it. ``buckets`` is the number of
-    hash buckets, by default eight times the session's shuffle partitions. Names of ``values`` must differ
+    segments of ``segment_width`` units, and bucket = hash(entity, segment), so an entity whose history is longer than that
+    is spread over its segments; the state at the start of a segment is carried into it. ``buckets`` is the number of
+    hash buckets, by default one for each ``bucket_rows`` rows of both sides. Names of ``values`` must differ
     from the events' columns; other columns of ``versions`` may clash and are not read.
     """
     clash = set(values) & set(events.columns)
     if clash:
         raise ValueError(f"events already have the columns {sorted(clash)}")
-    spark = events.sparkSession
-    n = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     segment = lambda c: F.floor(F.col(c) / segment_width).cast("long")
     prefer = prefer or []
     state = resolve_versions(versions.select(entity, available_at, *dict.fromkeys([*prefer, *values])), entity, available_at, prefer)
-    state = state.select(F.col(entity).alias("_e"), F.col(available_at).cast("long").alias("_t"), F.struct(*values).alias("_v")).withColumn("_s", F.floor(F.col("_t") / segment_width).cast("long"))
+    state = durable(state.select(F.col(entity).alias("_e"), F.col(available_at).cast("long").alias("_t"), F.struct(*values).alias("_v")).withColumn("_s", F.floor(F.col("_t") / segment_width).cast("long")))
+    n = buckets or max(1, ceil((state.count() + events.count()) / bucket_rows))
 
     known = F.col(entity).isNotNull() & F.col(at).isNotNull()
     asked = events.where(known).select(F.col(entity).alias("_e"), segment(at).alias("_s")).distinct()
@@ -100,13 +113,15 @@ def point_in_time_join(
     names = events.columns
 
     def asof(l: pa.Table, r: pa.Table) -> pa.Table:
-        import duckdb
-
-        with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"}) as db:
-            db.register("l", l)
-            db.register("r", r)
-            cols = ", ".join([f'l."{c}"' for c in names] + [f'r."{v}"' for v in values])
+        db = _database()
+        db.register("l", l)
+        db.register("r", r)
+        cols = ", ".join([f'l."{c}"' for c in names] + [f'r."{v}"' for v in values])
+        try:
             return db.sql(f"SELECT {cols} FROM l ASOF LEFT JOIN r ON l._e = r._e AND l._s = r._s AND l._at > r._t").to_arrow_table()
+        finally:
+            db.unregister("l")
+            db.unregister("r")
 
     joined = left.groupBy("_b").cogroup(right.groupBy("_b")).applyInArrow(asof, out)
     unknown = events.where(~known)
@@ -146,6 +161,6 @@ def review_history(reviews: DataFrame, editions: DataFrame) -> DataFrame:
 def leaking_stats(stats: DataFrame, reviews: DataFrame, editions: DataFrame) -> DataFrame:
     """(work_id, cutoff_year) of stats rows that count more ratings than were known before the cutoff."""
     asked = stats.where(F.col("pre_cutoff_ratings_count").isNotNull()).select("work_id", "cutoff_year", "pre_cutoff_ratings_count").distinct()
-    known = point_in_time_join(asked, review_history(reviews, editions), entity="work_id", at="cutoff_year", available_at="year", values=["n_ratings"])
+    known = point_in_time_join(asked, review_history(reviews, editions), entity="work_id", at="cutoff_year", available_at="year", values=["n_ratings"], segment_width=16)
     more = F.col("pre_cutoff_ratings_count") > F.coalesce("n_ratings", F.lit(0))
     return known.where(more & F.col("work_id").isNotNull() & F.col("cutoff_year").isNotNull()).select("work_id", "cutoff_year").distinct()

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.session import durable
+
+
+#: Ranges of scores in which running sums are taken.
+SPANS = 64
+
 
 def frequency(df: DataFrame, value: Column, name: str, *, top: int | None = None) -> DataFrame:
     """Counts of a value, most frequent first, ties by value; only ``top`` of them if given."""
@@ -62,9 +68,10 @@ def ranking(df: DataFrame, label: str, score: str, key: list[str], ks: tuple[int
     """
     rows = df.select(F.col(label).cast("long").alias("y"), F.col(score).cast("double").alias("s"), *key).where("y IS NOT NULL AND s IS NOT NULL")
     at = rows.groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    # Exponents of the score's magnitude bound the ranges: a few dozen rows.
-    span = F.floor(F.log2(1 + F.abs(F.col("s"))) * 4) * F.signum("s")
-    at = at.withColumn("span", span)
+    # Ranges hold about as many scores each, whatever their scale: their bounds are approximate quantiles, SPANS numbers on the driver.
+    at = durable(at)
+    bounds = sorted(set(at.approxQuantile("s", [k / SPANS for k in range(1, SPANS)], 0.5 / SPANS)))
+    at = at.withColumn("span", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("s"))) if bounds else F.lit(0))
     spans = at.groupBy("span").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
     above = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("span", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("sq").over(above), F.lit(0)).alias("q0"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.operators.point_in_time import written_year
 from foliant.session import shared_folder
@@ -31,13 +32,16 @@ def running_counts(reviews: DataFrame, *, late: str = "36500 days") -> DataFrame
     return once.groupBy("book_id", "year").agg(F.count("*").alias("n"), F.sum("rating").alias("s"))
 
 
-def drain(stream: DataFrame) -> DataFrame:
+def drain(stream: DataFrame, *, keys: tuple[str, ...] = ("book_id", "year")) -> DataFrame:
     """The state of an aggregated stream after everything that is available now.
 
-    Each micro-batch writes the complete state as a table in the shared folder, from the executors; the last
-    one is read back. Nothing passes through the driver.
+    Each micro-batch writes only the groups that it changed, as a part of a table in the shared folder, from the
+    executors; of each group the part of the latest batch counts. Nothing passes through the driver.
     """
     place = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/state")
-    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/state")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/state/batch={number}")
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    parts = stream.sparkSession.read.schema(schema).option("basePath", f"{place}/state").parquet(f"{place}/state")
+    rest = [c for c in stream.columns if c not in keys]
+    return parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
