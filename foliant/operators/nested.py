@@ -12,6 +12,7 @@ Nothing is shuffled: both operators are one narrow map over Arrow batches.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,7 @@ _STRUCT[list(b"{}[],:")] = True
 _STEP = np.zeros(256, np.int64)
 _STEP[list(b"{[")] = 1
 _STEP[list(b"}]")] = -1
+_SCALAR = re.compile(rb"(?:true|false|null|-?(?:0|[1-9][0-9]{0,300})(?:\.[0-9]{1,300})?(?:[eE][+-]?[0-9]{1,3})?)[ \t\r\n]*")
 QUOTE, BACKSLASH, COLON, COMMA, OPEN_LIST, OPEN_OBJECT = b'"'[0], b"\\"[0], b":"[0], b","[0], b"["[0], b"{"[0]
 
 
@@ -165,6 +167,63 @@ class StructuralIndex:
         dark = self.next_dark[start] < end
         return owner[dark], pos[dark], start[dark], end[dark]
 
+    def sound(self) -> np.ndarray:
+        """Of each text, whether it surely is valid JSON with a container outermost, by the index alone.
+
+        What stands between two neighbouring events is decided by the two: nothing, a key, or a value. Brackets must
+        match those that open their container. A text with a backslash, a control character in it or an unusual number is left
+        undecided (False), not judged.
+        """
+        n, size = len(self.starts), len(self.data)
+        if not len(self.at):
+            return np.zeros(n, bool)
+        row, char, at, depth, opens, closes = self.row, self.char, self.at, self.depth, self.step > 0, self.step < 0
+        bad = np.zeros(n, bool)
+        odd = np.flatnonzero((self.data == BACKSLASH) | (self.data < 0x20))
+        line = np.searchsorted(self.starts, odd, side="right") - 1
+        within = (np.searchsorted(self.quotes, odd) - np.searchsorted(self.quotes, self.starts[line])) & 1 == 1
+        bad[line[within | ~_SPACE[self.data[odd]]]] = True
+        last = np.append(row[1:] != row[:-1], True)
+        first = np.append(True, last[:-1])
+        # one container outermost, nothing before and after it, and no depth below it
+        has = np.zeros(n, bool)
+        has[row] = True
+        bad |= ~has
+        bad[row[first & ~opens]] = True
+        bad[row[last & ~(closes & (depth == 1))]] = True
+        bad[row[~last & closes & (depth == 1)]] = True
+        bad[row[depth < 1]] = True
+        dark = self.next_dark
+        bad[row[first & (dark[self.starts[row]] != at)]] = True
+        bad[row[last & (dark[np.minimum(at + 1, size)] < self.ends[row])]] = True
+        # the bracket that opened the container of each event: the last opening one of its depth
+        order = np.lexsort((np.arange(len(at)), depth, row))
+        opener = np.empty(len(at), np.int64)
+        opener[order] = np.maximum.accumulate(np.where(opens[order], np.arange(len(at)), -1))
+        kind = char[order[np.maximum(opener, 0)]]
+        inside_object = kind == OPEN_OBJECT
+        bad[row[closes & (char - kind != 2)]] = True  # } is two after {, ] two after [
+        bad[row[(char == COLON) & ~inside_object]] = True
+        # the gap before each event but the first of a text
+        k = np.flatnonzero(~first)
+        a, b = k - 1, k
+        left = dark[at[a] + 1]
+        empty = left >= at[b]
+        opening, closing = opens[b], closes[b]
+        key = (char[b] == COLON) & (((char[a] == COMMA) & inside_object[a]) | (char[a] == OPEN_OBJECT))
+        value = ((char[b] == COMMA) | closing) & ((char[a] == COLON) | ((char[a] == COMMA) & ~inside_object[a]) | (char[a] == OPEN_LIST))
+        nothing = (closes[a] & ((char[b] == COMMA) | closing)) | (opening & ((char[a] == COLON) | ((char[a] == COMMA) & ~inside_object[a]) | (char[a] == OPEN_LIST))) | (opens[a] & closing)
+        quoted = ~empty & (self.data[np.minimum(left, size - 1)] == QUOTE)
+        q = np.searchsorted(self.quotes, left)
+        shut = self.quotes[np.minimum(q + 1, max(len(self.quotes) - 1, 0))] if len(self.quotes) else np.zeros(len(k), np.int64)
+        text = quoted & (q + 1 < len(self.quotes)) & (shut < at[b]) & (dark[np.minimum(shut + 1, size)] >= at[b])
+        fine = np.where(empty, nothing, (key & text) | (value & text))
+        plain = np.flatnonzero(~empty & value & ~quoted & ~bad[row[b]])
+        for i in plain.tolist():
+            fine[i] = _SCALAR.fullmatch(self.data[left[i] : at[b[i]]].tobytes()) is not None
+        bad[row[b[~fine]]] = True
+        return ~bad
+
     def _string(self, left: int, right: int) -> str | None:
         raw = self.data[left:right].tobytes()
         try:
@@ -260,7 +319,8 @@ def json_children(texts: list[str | None], children: dict[str, str]) -> list[tup
                 sound = {k for k, (_, t) in enumerate(again) if _strict(t)}
                 part = _list_rows(inner, np.arange(len(own)), inner.starts, inner.ends, 1, value_key, [])
                 rows += [(int(own[k]), list_key, pos, v) for k, pos, v in part if k in sound]
-    held = {k for k in {r[0] for r in rows} if _strict(texts[k])}  # exact check: a broken line has no children
+    sound = index.sound()
+    held = {k for k in {r[0] for r in rows} if sound[k] or _strict(texts[k])}  # a broken line has no children; what the index can't vouch for is parsed
     return [r for r in rows if r[0] in held]
 
 
