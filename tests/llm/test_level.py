@@ -56,8 +56,11 @@ def test_real_held_out_accuracy(spark):
 
 def test_formula_seeds_what_nobody_rated(spark):
     docs, labels, truth = corpus(spark)
-    got = {r.doc_id: r.band for r in k.found(docs, labels.limit(0)).collect()}
+    model = k.train(docs, labels.limit(0))
+    got = {r.doc_id: r.band for r in k.assign(docs, model, by_sentence=True).collect()}
     assert got[1005] == 4 and got[0] == 1
+    whole = {r.doc_id: r.band for r in k.assign(docs, model).collect()}
+    assert whole[1005] == 4 and whole[1003] == 1  # document 0 quotes harder sentences, and by all its words the formula's level is higher
     assert k.found(docs.limit(0), labels.limit(0)).count() == 0
 
 
