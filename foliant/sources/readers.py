@@ -4,21 +4,18 @@ from __future__ import annotations
 
 import html
 import re
-import shutil
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from pathlib import Path
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RECORD = (
-    "controlfield array<struct<_tag:string,_VALUE:string>>, "
-    "datafield array<struct<_tag:string,_ind1:string,_ind2:string,subfield:array<struct<_code:string,_VALUE:string>>>>"
-)
-
+from foliant.session import shared_folder
 
 _CONTROL = re.compile(r"<(?:\w+:)?controlfield\b([^<>]*)>([^<]*)")
 _DATA = re.compile(r"<(?:\w+:)?datafield\b([^<>]*)>")
@@ -42,37 +39,100 @@ def recover_record(text: str) -> dict[str, list]:
     return {"controlfield": control, "datafield": data}
 
 
+_NAMESPACE = re.compile(r"<(/?)[\w.-]+:")
+_CATALOGUE = "controlfield array<struct<tag:string,text:string>>, datafield array<struct<tag:string,ind1:string,ind2:string,subfield:array<struct<code:string,text:string>>>>"
+
+
+class _Columns:
+    """Fields of many records as flat columns with list offsets."""
+
+    def __init__(self) -> None:
+        self.control: tuple[list, list] = [], []
+        self.data: tuple[list, list, list] = [], [], []
+        self.sub: tuple[list, list] = [], []
+        self.control_ends, self.data_ends, self.sub_ends = [0], [0], [0]
+
+    def add(self, control, data) -> None:
+        """A record: (tag, text) of its control fields; (tag, ind1, ind2, subfields) of its data fields, each subfield (code, text)."""
+        for f in control:
+            for column, x in zip(self.control, f, strict=True):
+                column.append(x)
+        for *f, subs in data:
+            for column, x in zip(self.data, f, strict=True):
+                column.append(x)
+            for s in subs:
+                for column, x in zip(self.sub, s, strict=True):
+                    column.append(x)
+            self.sub_ends.append(len(self.sub[0]))
+        self.control_ends.append(len(self.control[0]))
+        self.data_ends.append(len(self.data[0]))
+
+    def batch(self) -> pa.RecordBatch:
+        text = lambda columns, names: pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        subs = lists(self.sub_ends, text(self.sub, ["code", "text"]))
+        data = pa.StructArray.from_arrays([*(pa.array(c, pa.string()) for c in self.data), subs], ["tag", "ind1", "ind2", "subfield"])
+        return pa.RecordBatch.from_arrays([lists(self.control_ends, text(self.control, ["tag", "text"])), lists(self.data_ends, data)], names=["controlfield", "datafield"])
+
+
+def _parsed(text: str) -> tuple[list, list]:
+    """Fields of a sound record; a syntax fault raises ``ParseError``."""
+    root = ElementTree.fromstring(text)
+    control, data = [], []
+    value = lambda e: (e.text or "").strip() or None
+    for e in root:
+        if e.tag == "controlfield":
+            control.append((e.get("tag"), value(e)))
+        elif e.tag == "datafield":
+            data.append((e.get("tag"), e.get("ind1"), e.get("ind2"), [(s.get("code"), value(s)) for s in e if s.tag == "subfield"]))
+    return control, data
+
+
 def read_catalogue(spark: SparkSession, path: str, *, row_tag: str = "record") -> DataFrame:
-    """Catalogue records from XML, split by record tag, in the shape of the nkc_records table.
+    """Catalogue records from XML, split by the end of ``row_tag``, in the shape of the nkc_records table.
 
-    Namespaces are ignored. A record with a syntax fault is kept, with the fields that ``recover_record`` reads; for
-    this the parser must be the one that parses each record by itself, as the newer one ends a file at a fault. A
+    Files are cut anywhere and each task reads the records that begin in its part. Each record is parsed by itself, in Arrow batches,
+    by the C parser. Prefixes of namespaces are ignored (with a prefix, ``row_tag`` has it too). A record with a syntax fault is kept, with
+    the fields that ``recover_record`` reads. Texts come without outer white space, empty ones as null. A
     file that is named .gz but holds plain text must be read under another name first (``plain_copy``): the codec
     is chosen by the name.
     """
-    options = {"rowTag": row_tag, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreNamespace": "true", "useLegacyXMLParser": "true"}
-    raw = spark.read.schema(f"{RECORD}, _broken string").options(**options).xml(path)
-
-    @F.pandas_udf(f"struct<{RECORD.replace(' array', ':array')}>")
-    def recovered(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([recover_record(x) if x else {"controlfield": None, "datafield": None} for x in texts], columns=["controlfield", "datafield"])
-
-    raw = raw.withColumn("_recovered", recovered("_broken"))
-    raw = raw.select(*[F.when(F.col("_broken").isNull(), F.col(c)).otherwise(F.col(f"_recovered.{c}")).alias(c) for c in ("controlfield", "datafield")])
-    control = F.transform("controlfield", lambda c: F.struct(c["_tag"].alias("tag"), c["_VALUE"].alias("text")))
-    subfields = lambda f: F.transform(f["subfield"], lambda s: F.struct(s["_code"].alias("code"), s["_VALUE"].alias("text")))
-    data = F.transform("datafield", lambda f: F.struct(f["_tag"].alias("tag"), f["_ind1"].alias("ind1"), f["_ind2"].alias("ind2"), subfields(f).alias("subfield")))
-    return raw.select(F.monotonically_increasing_id().alias("line_no"), control.alias("controlfield"), data.alias("datafield"))
-
-
-def plain_copy(path: str, folder: str) -> str:
-    """A copy of a plain file without the misleading .gz in its name; the path itself if it is compressed."""
-    source = Path(path)
-    with source.open("rb") as f:
-        if source.suffix != ".gz" or f.read(2) == b"\x1f\x8b":
-            return path
-    target = Path(folder) / source.stem
-    shutil.copyfile(source, target)
+    begin = re.compile(rf"<{re.escape(row_tag)}[\s>]")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _Columns()
+            for text in batch.column(0).to_pylist():
+                found = begin.search(text)
+                if not found:
+                    continue  # what stands after the last record
+                record = text[found.start() :] + f"</{row_tag}>"
+                plain = _NAMESPACE.sub(r"<\1", record)
+                try:
+                    out.add(*_parsed(plain))
+                except (ElementTree.ParseError, ValueError):
+                    fields = recover_record(record)
+                    out.add([(f["_tag"], f["_VALUE"].strip() or None) for f in fields["controlfield"]], [(f["_tag"], f["_ind1"], f["_ind2"], [(x["_code"], x["_VALUE"].strip() or None) for x in f["subfield"]]) for f in fields["datafield"]])
+            yield out.batch()
+
+    rows = spark.read.option("lineSep", f"</{row_tag}>").text(path).mapInArrow(parse, _CATALOGUE)
+    return rows.select(F.monotonically_increasing_id().alias("line_no"), "controlfield", "datafield")
+
+
+def plain_copy(spark: SparkSession, path: str) -> str:
+    """A copy of a plain file without the misleading .gz in its name, in the shared folder; the path itself if it is compressed or not so named."""
+    if not path.endswith(".gz"):
+        return path
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source = hadoop.Path(path)
+    files = source.getFileSystem(conf)
+    stream = files.open(source)
+    head = [stream.read(), stream.read()]
+    stream.close()
+    if head == [0x1F, 0x8B]:
+        return path
+    target = hadoop.Path(f"{shared_folder(spark)}/plain-{uuid.uuid4().hex}/{source.getName().removesuffix('.gz')}")
+    hadoop.FileUtil.copy(files, source, target.getFileSystem(conf), target, False, conf)
     return str(target)
 
 

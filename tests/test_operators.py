@@ -164,14 +164,30 @@ def test_xml_source(spark, tmp_path):
     record = '<record><controlfield tag="001">n1</controlfield><datafield tag="041" ind1="1" ind2=" "><subfield code="a">cze</subfield><subfield code="h">eng</subfield></datafield><datafield tag="245" ind1=" " ind2=" "><subfield code="a">Krakatit /</subfield></datafield></record>'
     path = tmp_path / "dump.xml.gz"
     path.write_text(f'<collection xmlns="http://www.loc.gov/MARC21/slim">{record}{record}</collection>')
-    (tmp_path / "plain").mkdir()
-    copy = readers.plain_copy(str(path), str(tmp_path / "plain"))
-    assert copy.endswith("plain/dump.xml")
+    copy = readers.plain_copy(spark, str(path))
+    assert copy.endswith("/dump.xml")
     rows = catalogue.translation_rows(readers.read_catalogue(spark, copy))
     assert [(r.nkc_id, r.czech_title) for r in rows.collect()] == [("n1", "Krakatit")] * 2
     with gzip.open(tmp_path / "real.gz", "wt") as f:
         f.write("x")
-    assert readers.plain_copy(str(tmp_path / "real.gz"), str(tmp_path)) == str(tmp_path / "real.gz")
+    assert readers.plain_copy(spark, str(tmp_path / "real.gz")) == str(tmp_path / "real.gz") and readers.plain_copy(spark, "x.xml") == "x.xml"
+
+
+def test_xml_shapes(spark, tmp_path):
+    """Prefixes, line breaks, entities, CDATA, comments, empty records and faults, whatever the size of the parts."""
+    ns = '<marc:record xmlns:marc="m"><marc:controlfield tag="001"> n2 </marc:controlfield><marc:datafield tag="245" ind1="1" ind2=" "><marc:subfield code="a"><![CDATA[A & B]]></marc:subfield><!-- no --></marc:datafield></marc:record>'
+    texts = ["<record>\n<controlfield tag='001'>n&amp;1</controlfield>\n</record>", "<record type='x'></record>", '<record><controlfield tag="001">n & 3</controlfield><datafield tag="245" ind1=" " ind2=" "><subfield code="a">T</subfield></record>']
+    (tmp_path / "a.xml").write_text("<?xml version='1.0'?>\n<records><!-- head -->" + "\n".join(texts * 50) + "</records>\n")
+    (tmp_path / "b.xml").write_text(f"<marc:collection>{ns}</marc:collection>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = readers.read_catalogue(spark, str(tmp_path / "a.xml")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert len(got) == 150 == len({r.line_no for r in got})
+    one = lambda r: ([tuple(c) for c in r.controlfield], [(f.tag, f.ind1, [tuple(s) for s in f.subfield]) for f in r.datafield])
+    assert {str(one(r)) for r in got} == {str(x) for x in [([("001", "n&1")], []), ([], []), ([("001", "n & 3")], [("245", " ", [("a", "T")])])]}
+    assert [one(r) for r in readers.read_catalogue(spark, str(tmp_path / "b.xml"), row_tag="marc:record").collect()] == [([("001", "n2")], [("245", "1", [("a", "A & B")])])]
 
 
 PAGE = """<table class="x"><tr><td>no</td></tr></table><table class="ranking big"><thead><tr><th><h2> Próza </h2></th></tr></thead>
