@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import ceil
 
@@ -97,24 +97,35 @@ def plan(capacity: dict[str, int], targets: dict[str, float], block: int, total:
     return dict(zip(names, got, strict=True))
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, block_tokens: int = 256, shard_tokens: int = 2_000_000, total_tokens: int | None = None) -> DataFrame:
+def _sized(documents: DataFrame, targets: DataFrame, doc: str, text: str, source: str, size: Callable[[Column], Column]) -> tuple[DataFrame, dict[str, tuple[float, int]], dict[str, int]]:
+    """(doc, source, n_tokens) of the sources with a target; of each its share and repeats; of each its tokens."""
+    want = {r["s"]: (r["share"], max(0, r["reps"] or 0)) for r in targets.select(source_key(F.col("source")).alias("s"), F.col("target_share").alias("share"), F.col("max_repeats").alias("reps")).where("s IS NOT NULL AND share > 0").collect()}
+    listed = documents.select(F.col(doc).alias("doc"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")).where(F.col("source").isin(*want) if want else F.lit(False))
+    sized = listed.select("doc", "source", size(F.col("text")).alias("n_tokens")).where("n_tokens > 0 AND doc IS NOT NULL")
+    sized = durable(sized.groupBy("doc").agg(F.max(F.struct("n_tokens", "source")).alias("x")).select("doc", "x.source", "x.n_tokens"))  # tokenised once; ids and sizes only
+    return sized, want, {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+
+
+def allocation(documents: DataFrame, targets: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", block_tokens: int = 256, total_tokens: int | None = None, size: Callable[[Column], Column] = token_count) -> DataFrame:
+    """(source, tokens, blocks) of each source with a target and tokens that may be used: the apportionment of ``mix`` alone."""
+    _, want, totals = _sized(documents, targets, doc, text, source, size)
+    seats = plan({s: n * want[s][1] for s, n in totals.items()}, {s: v[0] for s, v in want.items()}, block_tokens, total_tokens)
+    return documents.sparkSession.createDataFrame([(s, totals[s], n) for s, n in seats.items()], "source string, tokens long, blocks long")
+
+
+def mix(documents: DataFrame, targets: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, block_tokens: int = 256, shard_tokens: int = 2_000_000, total_tokens: int | None = None, size: Callable[[Column], Column] = token_count) -> DataFrame:
     """(doc, source, shard, n_tokens, copies) of each document taken at least once.
 
     ``targets`` is (source, target_share, max_repeats); spellings of a source are brought to one form. Rows
     of a source without target, without source or without text are not taken; a document delivered again
     under another id is another document; a doc repeated under one id counts once (its greatest text).
-    ``copies`` is never more than max_repeats (null or negative: 0).
+    ``copies`` is never more than max_repeats (null or negative: 0). ``size`` gives the tokens of a text.
 
     A shard holds about ``shard_tokens`` tokens (more beyond MOST_SHARDS shards), so no source, however large,
     is ordered in one window. What reaches the driver is a number for each (shard, source).
     """
     spark = documents.sparkSession
-    want = {r["s"]: (r["share"], max(0, r["reps"] or 0)) for r in targets.select(source_key(F.col("source")).alias("s"), F.col("target_share").alias("share"), F.col("max_repeats").alias("reps")).where("s IS NOT NULL AND share > 0").collect()}
-    listed = documents.select(F.col(doc).alias("doc"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")).where(F.col("source").isin(*want) if want else F.lit(False))
-    sized = listed.select("doc", "source", token_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0 AND doc IS NOT NULL")
-    sized = sized.groupBy("doc").agg(F.max(F.struct("n_tokens", "source")).alias("x")).select("doc", "x.source", "x.n_tokens")
-    sized = durable(sized)  # tokenised once; ids and sizes only
-    totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    sized, want, totals = _sized(documents, targets, doc, text, source, size)
     shards = min(MOST_SHARDS, max(1, ceil(sum(totals.values()) / shard_tokens)))
     placed = sized.withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(shards)).cast("int"))
     held: dict[str, dict[int, int]] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm import leak, level, linkage, lookalike, mix, names, survivor
 from foliant.session import table
@@ -50,16 +51,54 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The apportionment alone, with sizes in words."""
+    return mix.allocation(table(spark, d, "documents"), table(spark, d, "mix_targets"), size=lambda text: F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")).cast("long"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return level.found(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_linked, p3_found, p3_consistent, p5_found, p5_golden, p7_found, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_linked, p3_found, p3_consistent, p5_found, p5_golden, p7_found, p8_mix, p8_shares, p8_blocks, p9_found)}
+
+_FOREIGN = r"\p{Cyrillic}\p{Greek}"
+_ODD = [
+    # invisible characters and controls, spaces other than U+0020
+    r"[\x{00}-\x{1F}\x{7F}-\x{A0}\x{AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{1680}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}]",
+    # compatibility forms
+    r"[\x{AA}\x{B2}\x{B3}\x{B9}\x{BA}\x{BC}-\x{BE}\x{0132}\x{0133}\x{0149}\x{01C4}-\x{01CC}\x{01F1}-\x{01F3}\x{2026}\x{2070}-\x{209C}\x{2100}-\x{214D}\x{2150}-\x{217F}\x{2460}-\x{24FF}\x{FB00}-\x{FB06}\x{FF01}-\x{FF9F}\x{1D400}-\x{1D7FF}]",
+    # a word of two scripts
+    rf"\p{{Latin}}[\p{{L}}\p{{M}}]*[{_FOREIGN}]", rf"[{_FOREIGN}][\p{{L}}\p{{M}}]*\p{{Latin}}", r"\p{Cyrillic}[\p{L}\p{M}]*\p{Greek}", r"\p{Greek}[\p{L}\p{M}]*\p{Cyrillic}",
+]
+_LONE_LETTERS = "".join(c for row in lookalike.LOOKALIKES for c in row[1:] if c != "." and row[0] != ".")
+
+
+def _odd(c: str) -> str:
+    """SQL of whether a value holds a character that is not the ordinary one; without the lattice, by the scripts alone."""
+    tests = [f"regexp_matches({c}, '{x}')" for x in _ODD]
+    # a single foreign letter among Latin words only
+    lone = f"regexp_matches({c}, '(^|[^\\p{{L}}\\p{{M}}])[{_LONE_LETTERS}]([^\\p{{L}}\\p{{M}}]|$)') AND regexp_matches({c}, '\\p{{Latin}}[\\p{{L}}\\p{{M}}]*\\p{{L}}') AND NOT regexp_matches({c}, '[{_FOREIGN}][\\p{{L}}\\p{{M}}]*[{_FOREIGN}]')"
+    return f"({' OR '.join(tests)} OR nfc_normalize({c}) <> {c} OR ({lone}))"
+
 
 _NOW = """now AS (
   SELECT DISTINCT * FROM goodreads_book_details QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY loaded_at DESC, work_id DESC NULLS LAST) = 1)"""
 
 ORACLE = {
+    "p3_found": "SELECT DISTINCT nkc_id, field FROM (" + " UNION ALL ".join(f"SELECT nkc_id, '{c}' AS field, {c} AS v FROM nkc_translations" for c in ("original_title", "czech_title", "author")) + f") WHERE {_odd('v')}",
+    "p8_blocks": """
+WITH w AS (
+  SELECT max_by(s, (n, s)) AS source, max(n) AS n FROM (
+    SELECT doc_id, nullif(regexp_replace(lower(trim(source)), '[\\s\\-]+', '_', 'g'), '') AS s, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)
+  WHERE n > 0 AND s IN (SELECT source FROM mix_targets) GROUP BY doc_id),
+t AS (SELECT w.source, sum(n) AS tokens, any_value(target_share) AS share, any_value(max_repeats) AS reps FROM w JOIN mix_targets m ON m.source = w.source WHERE target_share > 0 GROUP BY 1),
+r AS (SELECT *, tokens * reps // 256 AS cap FROM t WHERE tokens * reps > 0),
+seats AS (SELECT CAST(floor(min(tokens * reps * (SELECT sum(share) FROM r) / share) / 256) AS BIGINT) AS n FROM r),
+q AS (SELECT source, share / (2 * k + 1) AS quotient, k FROM (SELECT source, share, unnest(range(CAST(cap AS BIGINT))) AS k FROM r)),
+got AS (SELECT source, count(*) AS blocks FROM (SELECT * FROM q QUALIFY row_number() OVER (ORDER BY quotient DESC, source, k) <= (SELECT n FROM seats)) GROUP BY 1)
+SELECT source, CAST(tokens AS BIGINT) AS tokens, coalesce(blocks, 0) AS blocks FROM r LEFT JOIN got USING (source)
+""",
     "p5_found": f"""
 WITH {_NOW},
 e AS (
