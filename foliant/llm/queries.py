@@ -82,11 +82,25 @@ def _odd(c: str) -> str:
     return f"({' OR '.join(tests)} OR nfc_normalize({c}) <> {c} OR ({lone}))"
 
 
+_UNESCAPED = "text"
+for _name, _char in {"nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "#39": "''", "amp": "&"}.items():
+    _UNESCAPED = f"replace({_UNESCAPED}, '&{_name};', '{_char}')"
+
 _NOW = """now AS (
   SELECT DISTINCT * FROM goodreads_book_details QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY loaded_at DESC, work_id DESC NULLS LAST) = 1)"""
 
 ORACLE = {
     "p3_found": "SELECT DISTINCT nkc_id, field FROM (" + " UNION ALL ".join(f"SELECT nkc_id, '{c}' AS field, {c} AS v FROM nkc_translations" for c in ("original_title", "czech_title", "author")) + f") WHERE {_odd('v')}",
+    "p9_found": f"""
+WITH d AS (SELECT doc_id, text, regexp_replace({_UNESCAPED}, '</?[a-zA-Z][^<>]*>', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL),
+cnt AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(t), '\\p{{L}}+')) AS w FROM d) GROUP BY ALL),
+v AS (SELECT doc_id, {", ".join(f"avg((band = {b})::INT) AS v{b}" for b in level.LEVELS)} FROM reading_labels WHERE band BETWEEN 1 AND 4 AND doc_id IS NOT NULL GROUP BY 1),
+voc AS (SELECT w, {", ".join(f"sum(n * v{b}) + 0.5::DOUBLE AS c{b}" for b in level.LEVELS)} FROM cnt JOIN v USING (doc_id) GROUP BY w HAVING count(*) >= 3),
+total AS (SELECT {", ".join(f"sum(c{b}) AS t{b}" for b in level.LEVELS)} FROM voc),
+sc AS (SELECT doc_id, {", ".join(f"sum(n * ln(c{b} / t{b})) AS s{b}" for b in level.LEVELS)} FROM cnt JOIN voc USING (w), total GROUP BY 1)
+SELECT DISTINCT d.doc_id, CASE WHEN NOT regexp_matches(t, '\\p{{L}}') THEN 3 WHEN s1 IS NULL OR s1 >= greatest(s2, s3, s4) THEN 1 WHEN s2 >= greatest(s3, s4) THEN 2 WHEN s3 >= s4 THEN 3 ELSE 4 END AS band
+FROM d LEFT JOIN sc USING (doc_id) WHERE len(list_filter(regexp_split_to_array(text, '[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')) >= 40
+""",
     "p8_blocks": """
 WITH w AS (
   SELECT max_by(s, (n, s)) AS source, max(n) AS n FROM (
