@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import text
 from foliant.llm import lookalike, names
 from foliant.llm.names import fold, near, skeleton
 from foliant.operators.point_in_time import latest_rows
@@ -25,7 +26,7 @@ from foliant.session import durable
 
 # Latin for Cyrillic letters; articles; names of a volume; words that join nouns; language codes.
 CYRILLIC = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "ё": "e", "і": "i"}
-ARTICLES = set("the a an der die das ein eine le la les un une el los las il lo l".split())
+ARTICLES = {*text.ARTICLES, *"el los las il lo l".split()}
 VOLUME = "volume|vol|v|part|pt|band|bd|teil|tome|dil|svazek|sv|tom|t|no|nr"
 JOINING = set("and und et i u".split())
 LANGUAGES = {"en": "eng", "de": "ger", "fr": "fre", "ru": "rus", "cs": "cze", "es": "spa", "it": "ita", "pl": "pol", "deu": "ger", "fra": "fre", "ces": "cze"}

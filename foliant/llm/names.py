@@ -278,13 +278,16 @@ def close_spellings(texts: DataFrame) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(np.append(slip_keys(t), slip_keys("~" + skeleton(t))[-1])) if len(t) > 2 else np.empty(0, np.int64) for t in batch.column(1).to_pylist()]
+            own = [np.unique(np.append(slip_keys(t), slip_keys("~" + skeleton(t))[-1])) ^ k if len(t) > 2 else np.empty(0, np.int64) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             place = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(np.concatenate([np.empty(0, np.int64), *own]))], names=["kind", "text", "key"])
-
-    shared = texts.select("kind", "text").mapInArrow(keys, "kind string, text string, key long").groupBy("kind", "key").agg(F.collect_set("text").alias("texts"))
-    pairs = shared.where("size(texts) > 1").select("kind", "texts", F.explode("texts").alias("text")).select("kind", "text", F.explode("texts").alias("to")).where("text <> `to`")
-    return pairs.where(near_column(F.col("text"), F.col("to"))).groupBy("kind", "text").agg(F.array_sort(F.collect_set("to")).alias("near"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), pa.array(np.concatenate([np.empty(0, np.int64), *own]))], names=["id", "key"])
+
+    texts = texts.select(F.xxhash64("kind", "text").alias("id"), "kind", "text")  # numbers travel, not texts
+    shared = texts.select("id", "text", F.xxhash64("kind")).mapInArrow(keys, "id long, key long").groupBy("key").agg(F.collect_set("id").alias("ids"))
+    pairs = shared.where("size(ids) > 1").select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a <> b").distinct()
+    sides = [texts.select(F.col("id").alias(i), F.col("kind").alias(f"kind_{i}"), F.col("text").alias(f"text_{i}")) for i in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").where((F.col("kind_a") == F.col("kind_b")) & near_column(F.col("text_a"), F.col("text_b")))
+    return both.groupBy(F.col("kind_a").alias("kind"), F.col("text_a").alias("text")).agg(F.array_sort(F.collect_set("text_b")).alias("near"))
 
 
 def _spellings(nodes: DataFrame) -> DataFrame:

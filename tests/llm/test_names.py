@@ -154,3 +154,13 @@ def test_empty_and_long(spark):
     assert names.found(translations, authors.limit(0)).count() == 0
     long = spark.createDataFrame([("x" * 100_000 + ", Karel",), ("Karel " + "x" * 100_000,)], "name string")
     assert len({r.entity for r in names.resolve(long).collect()}) == 1
+
+
+def test_long_varied_names(spark):
+    """A long name has as many one-slip keys as letters; they travel as numbers."""
+    import random
+
+    r = random.Random(2)
+    letters = "".join(r.choice("abcdefgh") for _ in range(60_000))
+    slip = letters[:30_000] + "z" + letters[30_001:]
+    assert same(spark, *[f"{letters}, Karel"] * 2, f"{slip}, Karel", f"{letters[::-1]}, Karel") == [(0, 1, 2), (3,)]
