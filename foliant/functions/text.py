@@ -23,6 +23,9 @@ REPLACEMENTS = {
 ARTICLES = ["the", "a", "an", "der", "die", "das", "ein", "eine", "le", "la", "les", "un", "une"]
 # Ligatures and signs that decompose to several letters and occur in names and titles.
 EXPANSIONS = ["Ĳ", "ĳ", "Ŀ", "ŀ", "ŉ", "Ǆ", "ǅ", "ǆ", "Ǉ", "ǈ", "ǉ", "Ǌ", "ǋ", "ǌ", "Ǳ", "ǲ", "ǳ", "…", "ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ", "ﬅ", "ﬆ", "№", "™", "½", "¼", "¾"]
+# The patterns of a written year and of an OCLC number.
+YEAR_PATTERN = r"(?U)\b(1\d{3}|20\d{2})\b"
+OCLC_PATTERN = r"\(OCoLC\)(?:ocm|ocn|on)?0*(\d+)"
 #: What Python takes for white space; the JVM's \s is only a part of it.
 SPACE = r"[\t-\r\x1c-\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
@@ -105,12 +108,12 @@ def strip_series(title: Column) -> Column:
 
 def parse_year(text: Column) -> Column:
     """The first free-standing year 1000-1999 or 2000-2099; c1982 holds none."""
-    return F.nullif(F.regexp_extract(text, r"(?U)\b(1\d{3}|20\d{2})\b", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(text, YEAR_PATTERN, 1), F.lit("")).cast("int")
 
 
 def parse_oclc(values: Column) -> Column:
     """The first OCLC number of an array of identifiers, without prefix and zeros."""
-    found = F.transform(values, lambda v: F.nullif(F.regexp_extract(v, r"\(OCoLC\)(?:ocm|ocn|on)?0*(\d+)", 1), F.lit("")))
+    found = F.transform(values, lambda v: F.nullif(F.regexp_extract(v, OCLC_PATTERN, 1), F.lit("")))
     return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
 
 

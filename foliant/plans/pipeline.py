@@ -11,11 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import books, cascade, catalogue, labels
+from foliant.operators import books, cascade, catalogue, charts, dataset, labels
 from foliant.sources import readers
 
 REVIEW = "review_id string, book_id string, rating int, review_text string, date_added string"
 AUTHOR = "author_id string, name string"
+CHART = "year string, week string, category string, rank string, isbn string, author string, title string, publisher string"
 
 
 @dataclass
@@ -28,6 +29,7 @@ class Batch:
     books: str | None = None
     authors: str | None = None
     reviews: str | None = None
+    chart: str | None = None
     partitions: int | None = None
     force: bool = False
 
@@ -79,6 +81,40 @@ class Batch:
     def matched(self) -> DataFrame:
         return self._step("matched", lambda: cascade.cascade_keyed(cascade.keyed_records(self.translations()), *self._books()))
 
+    def chart_totals(self) -> DataFrame:
+        """Totals of each book number from the chart CSV; none without one."""
+
+        def build() -> DataFrame:
+            rows = readers.read_csv(self.spark, self.chart, CHART) if self.chart else self.spark.createDataFrame([], CHART)
+            return charts.chart_totals(rows)
+
+        return self._step("chart_totals", build)
+
+    def matched_dataset(self) -> DataFrame:
+        """Catalogue columns, match, book metadata and chart sums of every translation."""
+
+        def build() -> DataFrame:
+            records = cascade.keyed_records(self.translations())
+            return dataset.matched_table(self.translations(), records, cascade.first_year(records), self.matched(), dataset.book_metadata(self.editions()), self.chart_totals())
+
+        return self._step("matched_dataset", build)
+
+    def training(self) -> DataFrame:
+        return self._step("training", lambda: dataset.training_table(self.matched_dataset()))
+
+    def funnel(self) -> DataFrame:
+        return self._step("funnel", lambda: dataset.funnel(self.matched()))
+
+    def counters(self) -> DataFrame:
+        """One row: what the pool's and the training table's filters dropped, and matched works with a Czech year outside the pool."""
+
+        def build() -> DataFrame:
+            years = cascade.first_year_of_works(self.matched(), cascade.keyed_records(self.translations()))
+            lost = years.join(self.pool().select("work_id"), "work_id", "left_anti").agg(F.count("*").alias("matched_outside_pool"))
+            return books.pool_counts(self.editions()).crossJoin(dataset.training_counts(self.matched_dataset())).crossJoin(lost)  # one row each
+
+        return self._step("counters", build)
+
     def pool(self) -> DataFrame:
         return self._step("pool", lambda: books.candidate_pool(self.editions()).withColumnsRenamed({"ratings_count": "ratings_count_2017", "text_reviews": "text_reviews_2017"}))
 
@@ -97,7 +133,7 @@ class Batch:
         return self._step("stats", build)
 
     def features(self) -> DataFrame:
-        return self._step("features", lambda: labels.check_split(labels.features(self.labels(), self.stats())))
+        return self._step("features", lambda: labels.check_split(labels.features(self.labels(), self.stats(), strict=True)))
 
     def export(self, table: DataFrame, name: str) -> None:
         """A CSV copy of a table, with a header."""

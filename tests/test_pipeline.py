@@ -42,6 +42,20 @@ def test_batch(spark, tmp_path, capsys):
     assert list((tmp_path / "cli" / "parse.csv").glob("*.csv")) and list((tmp_path / "cli" / "coverage_report.json").glob("*.json"))
 
 
+def test_matched_and_training_tables(spark, tmp_path):
+    paths = raw(tmp_path)
+    (tmp_path / "chart.csv").write_text("year,week,category,rank,isbn,author,title,publisher\n2010,1,x,3,978-80-00-00000-1,a,t,p\n")
+    batch = Batch(spark, str(tmp_path / "out"), **paths, chart=str(tmp_path / "chart.csv"))
+    rows = {r.nkc_id: r for r in batch.matched_dataset().collect()}
+    assert set(rows) == {"n0", "n1", "n2"} and rows["n1"].match_layer == "exact" and rows["n1"].gr_work_id == "w1" and rows["n1"].gr_ratings_count == "60" and rows["n1"].gr_is_ebook == "false"
+    assert rows["n0"].gr_popular_shelves == '[{"name":"fantasy","count":7}]' and rows["n0"].gr_average_rating == "" and rows["n0"].chart_appearances == 0 and rows["n0"].chart_bestseller == "false"
+    assert rows["n0"].first_czech_year == 2009 and {r.nkc_id for r in batch.training().collect()} == set(rows)
+    assert {r.measure: (r.n, r.share) for r in batch.funnel().collect()} == {"exact": (3, 1.0), "matched": (3, 1.0), "records": (3, 1.0)}
+    c = batch.counters().first()
+    assert (c.works, c.kept, c.dropped_ratings, c.candidates, c.rows_collapsed, c.matched_outside_pool) == (5, 5, 0, 3, 0, 0)
+    assert [r.isbn for r in batch.chart_totals().collect()] == ["9788000000001"]
+
+
 def test_limited_parse_is_no_step_of_later_commands(spark, tmp_path):
     paths = raw(tmp_path)
     batch = Batch(spark, str(tmp_path / "out"), **paths)
