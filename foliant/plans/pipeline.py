@@ -111,7 +111,8 @@ class Batch:
         def build() -> DataFrame:
             years = cascade.first_year_of_works(self.matched(), cascade.keyed_records(self.translations()))
             lost = years.join(self.pool().select("work_id"), "work_id", "left_anti").agg(F.count("*").alias("matched_outside_pool"))
-            return books.pool_counts(self.editions()).crossJoin(dataset.training_counts(self.matched_dataset())).crossJoin(lost)  # one row each
+            training = dataset.training_counts(self.matched_dataset()).withColumnRenamed("works", "training_works")
+            return books.pool_counts(self.editions()).crossJoin(training).crossJoin(lost)  # one row each
 
         return self._step("counters", build)
 
