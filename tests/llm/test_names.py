@@ -98,6 +98,14 @@ def test_bodies_of_like_beginnings_stay_apart(spark):
     assert same(spark, *texts) == [(0, 2, 4), (1,), (3,)]
 
 
+def test_kinds_of_organisations_are_learned(spark):
+    """A word that opens names before "of" names a kind of organisation; a given name or a rare word doesn't."""
+    texts = ["Stiftung of Norwick Letters", "Stiftung of Althom Plants", "Jan of Norwick Town", "Jan of Althom Town", "Once of Norwick Letters", "Malý, Jan", "Nový, Jan", "Stiftung, Jan of"]
+    df = spark.createDataFrame([(t,) for t in texts], "name string")
+    assert names.organisation_heads(df, "name", names.Parser(Model({}), {"jan"})) == {"stiftung"}
+    assert same(spark, *texts[:2], "Norwick Letters Stiftung", "Stiftung, Jan") == [(0, 2), (1,), (3,)]
+
+
 def test_later_given_names_count(spark):
     assert same(spark, "Smith, John Michael Paul", "Smith, John Michael Peter", "Smith, J. M. Paul", "Smith, John Michael") == [(0, 2), (1,), (3,)]
 
