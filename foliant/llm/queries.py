@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import leak, level, linkage, lookalike, mix, names, survivor
-from foliant.session import table
+from foliant.session import durable, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +51,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target whether the mix keeps to it: its tokens within a document and a block of its share (among sources that have texts), no document more often than allowed."""
+    mixed = durable(p8_mix(spark, d))
+    held = table(spark, d, "documents").where("text <> ''").select(mix.source_key(F.col("source")).alias("source")).distinct().withColumn("held", F.lit(True))
+    rows = mix.shares(mixed, table(spark, d, "mix_targets")).join(held, "source", "left")
+    total = rows.agg(F.sum("tokens").alias("total"), F.sum(F.when(F.col("held"), F.col("target_share"))).alias("reached"))
+    both = rows.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(mixed.agg(F.max("n_tokens").alias("longest"))))  # one row each
+    off = F.abs(F.col("tokens") - F.col("target_share") / F.col("reached") * F.col("total"))
+    near = F.when(F.col("held"), off <= F.col("longest") + 256).otherwise(F.col("tokens") == 0)
+    return both.select("source", "target_share", near.alias("near"), (F.col("most_copies") <= F.col("max_repeats")).alias("allowed"))
+
+
 def p8_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The apportionment alone, with sizes in words."""
     return mix.allocation(table(spark, d, "documents"), table(spark, d, "mix_targets"), size=lambda text: F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")).cast("long"))
@@ -60,7 +72,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return level.found(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_linked, p3_found, p3_consistent, p5_found, p5_golden, p7_found, p8_mix, p8_shares, p8_blocks, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_linked, p3_found, p3_consistent, p5_found, p5_golden, p7_found, p8_mix, p8_shares, p8_kept, p8_blocks, p9_found)}
 
 _FOREIGN = r"\p{Cyrillic}\p{Greek}"
 _ODD = [
@@ -101,6 +113,7 @@ sc AS (SELECT doc_id, {", ".join(f"sum(n * ln(c{b} / t{b})) AS s{b}" for b in le
 SELECT DISTINCT d.doc_id, CASE WHEN NOT regexp_matches(t, '\\p{{L}}') THEN 3 WHEN s1 IS NULL OR s1 >= greatest(s2, s3, s4) THEN 1 WHEN s2 >= greatest(s3, s4) THEN 2 WHEN s3 >= s4 THEN 3 ELSE 4 END AS band
 FROM d LEFT JOIN sc USING (doc_id) WHERE len(list_filter(regexp_split_to_array(text, '[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')) >= 40
 """,
+    "p8_kept": "SELECT source, target_share, true AS near, true AS allowed FROM mix_targets",
     "p8_blocks": """
 WITH w AS (
   SELECT max_by(s, (n, s)) AS source, max(n) AS n FROM (
