@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -47,10 +48,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files and broadcasts of plans that are no longer referenced.
+
+    It learns of them only when the driver collects its garbage, which in a job of many short plans may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    _release(df.sparkSession)
+    return kept
 
 
 def successive(start: DataFrame, step: Callable[[DataFrame], DataFrame], ended: Callable[[DataFrame], bool]) -> DataFrame:
@@ -66,6 +78,7 @@ def successive(start: DataFrame, step: Callable[[DataFrame], DataFrame], ended:
         if k:
             old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        _release(spark)
         return spark.read.schema(df.schema).parquet(f"{folder}/{k}")
 
     state, k = written(start, 0), 0
