@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -48,11 +49,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+RELEASE_S = 5.0
+_released = 0.0
+
+
 def _release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files and broadcasts of plans that are no longer referenced.
 
     It learns of them only when the driver collects its garbage, which in a job of many short plans may be long after.
+    Not more often than every RELEASE_S seconds.
     """
+    global _released
+    if time.monotonic() - _released < RELEASE_S:
+        return
+    _released = time.monotonic()
     gc.collect()
     spark._jvm.System.gc()
 
